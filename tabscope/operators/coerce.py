@@ -40,7 +40,11 @@ def in_files(df: DataFrame, files: list[str]) -> DataFrame:
 
 def first_rows(df: DataFrame, n: int, files: int = 1) -> DataFrame:
     """The first n rows in file order as far as the first few files hold them."""
-    return in_files(df, sorted(df.inputFiles())[:files]).orderBy(*file_position(df)).limit(n)
+    head = in_files(df, sorted(df.inputFiles())[:files])
+    position = file_position(df)
+    if len(position) == 2:  # rows know their index: no file gives more than its first n
+        head = head.where(F.col("_metadata.row_index") < n)
+    return head.orderBy(*position).limit(n)
 
 
 def detect_date_columns(df: DataFrame, order_by: list | None = None) -> list[str]:

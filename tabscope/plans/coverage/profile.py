@@ -261,7 +261,7 @@ ROLE_SOURCES = ("customer", "part", "orders", "lineitem", "events", "documents",
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for source in ROLE_SOURCES:
-        stats, rows = profile_columns(table(spark, sf_dir, source))
+        stats, rows = profile_columns(table(spark, sf_dir, source), with_quartiles=False)
         flagged = with_roles(stats, rows)
         parts.append(flagged.select(F.lit(source).alias("source"), "name", *[f"is_{r}" for r in ROLES]))
     return reduce(DataFrame.unionAll, parts)
@@ -292,18 +292,59 @@ GAPS_TWICE_SQL = f"(SELECT * FROM {GAPS_SQL} a UNION ALL SELECT * FROM {GAPS_SQL
 def warnings_of_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = gaps(spark, sf_dir)
     twice = base.unionAll(base.where(F.col("c_mktsegment") == "BUILDING"))
-    stats, _ = profile_columns(twice)
+    stats, _ = profile_columns(twice, with_quartiles=False)
     return quality_warnings(stats, duplicate_count(twice))
 
 
-@register("profile_full")
+def _full_sql(source: str) -> str:
+    parts = []
+    for i, c, t in fields(source):
+        numeric = t in NUMERIC_TYPES
+        temporal = t == "timestamp_ntz"
+        q = f"ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4)" if numeric else "NULL"
+        top = "NULL" if numeric or temporal else f"(SELECT value FROM ({_top_sql(source, c)}) WHERE rank = 1)"
+        parts.append(
+            f"""SELECT COUNT(*) AS row_count,
+                       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {source})) AS duplicate_count,
+                       CAST({i} AS INTEGER) AS ordinal, '{c}' AS name, COUNT(*) - COUNT({c}) AS missing_count,
+                       COUNT(DISTINCT {c}) AS unique_count, {q} AS q50,
+                       {_stamp(f'MIN({c})') if temporal else 'NULL'} AS date_min, {top} AS top_value FROM {source}"""
+        )
+    return union_all(parts)
+
+
+@register("profile_full", _full_sql("lineitem"))
 def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_dataset(spark, table_path(sf_dir, "lineitem"), include_sample=True).drop("profiled_at")
+    """The one-row profile, with a sample, unfolded to one row per column."""
+    profile = profile_dataset(spark, table_path(sf_dir, "lineitem"), include_sample=True)
+    columns = profile.select("row_count", "duplicate_count", F.inline("columns"))
+    return columns.select(
+        "row_count",
+        "duplicate_count",
+        "ordinal",
+        "name",
+        "missing_count",
+        "unique_count",
+        F.round("q50", 4).alias("q50"),
+        "date_min",
+        F.try_element_at("top_values", F.lit(1))["value"].alias("top_value"),
+    )
 
 
-@register("profile_compact")
+@register(
+    "profile_compact",
+    union_all(
+        f"""SELECT COUNT(*) AS row_count, CAST(7 AS INTEGER) AS column_count, '{c}' AS name,
+                   ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 2) AS missing_pct, 'c_custkey,c_name' AS id_columns
+            FROM {GAPS_SQL} g"""
+        for c in GAPS_COLUMNS
+    ),
+)
 def profile_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact_profile(profile_frame(gaps(spark, sf_dir), path="customer-gaps"))
+    compact = compact_profile(profile_frame(gaps(spark, sf_dir), path="customer-gaps"))
+    return compact.select(
+        "row_count", "column_count", F.explode("columns").alias("c"), F.array_join("id_columns", ",").alias("id_columns")
+    ).select("row_count", "column_count", "c.name", "c.missing_pct", "id_columns")
 
 
 @register(

@@ -122,14 +122,19 @@ def _value_statistics(df: DataFrame, infos: list[ColumnInfo], small: bool) -> tu
     return distinct, quartiles, tops
 
 
-def profile_columns(df: DataFrame, direct_rows: int = DIRECT_ROWS) -> tuple[DataFrame, int]:
-    """The statistics table (one row per column) and the row count."""
+def profile_columns(
+    df: DataFrame, direct_rows: int = DIRECT_ROWS, with_quartiles: bool = True
+) -> tuple[DataFrame, int]:
+    """The statistics table (one row per column) and the row count.
+
+    Roles and warnings do not need quartiles and can leave them out.
+    """
     infos = column_infos(df)
     scan = _scan_statistics(df, infos)
     rows = scan["rows"]
     small = rows <= direct_rows
-    distinct, quartiles, tops = _value_statistics(df, infos, small)
-    if not small:
+    distinct, quartiles, tops = _value_statistics(df, infos, small and with_quartiles)
+    if with_quartiles and not small:
         non_missing = {i.ordinal: rows - scan[f"missing{i.ordinal}"] for i in infos if i.kind == NUMERIC}
         if non_missing:
             found = exact_quantiles(df, infos=infos, non_missing=non_missing, direct_rows=direct_rows)
@@ -162,14 +167,16 @@ def profile_frame(
 ) -> DataFrame:
     """One row: table facts, the column statistics, roles, warnings and an optional sample."""
     typed = coerce_dates(df, detect_date_columns(df)) if coerce else df
-    # Passes B and C do not depend on each other; two threads let small stages overlap.
-    with ThreadPoolExecutor(max_workers=2) as pool:
+    # The passes do not depend on each other; threads let their small stages overlap.
+    with ThreadPoolExecutor(max_workers=4) as pool:
         columns_job = pool.submit(profile_columns, typed, direct_rows)
         duplicates_job = pool.submit(lambda: duplicate_count(typed).first()["duplicate_count"])
+        size_job = pool.submit(lambda: size.first()["file_size_bytes"] if size is not None else None)
+        sample_job = pool.submit(_sample, typed, max_sample_rows, redact_pii) if include_sample else None
         columns, rows = columns_job.result()
         repeated = duplicates_job.result()
-    sample = _sample(typed, max_sample_rows, redact_pii) if include_sample else None
-    size_bytes = size.first()["file_size_bytes"] if size is not None else None
+        size_bytes = size_job.result()
+        sample = sample_job.result() if sample_job else None
     warnings = F.concat(
         F.flatten(
             F.transform(
