@@ -78,7 +78,9 @@ def pattern_regex(pattern: str) -> str | None:
         return None
     if anchored:
         return f"(?s)^{_glob_regex(glob, False)}(/.*)?$"
-    return f"(?s)(^|/)({_glob_regex(glob, True)}(/|$)|{_glob_regex(glob, False)}$)"
+    tail = f"{_glob_regex(glob, False)}$"
+    part = "" if "/" in glob else f"{_glob_regex(glob, True)}(/|$)|"
+    return f"(?s)(^|/)({part}{tail})"
 
 
 def is_ignored(rel_path: Column, patterns: list[str]) -> Column:
