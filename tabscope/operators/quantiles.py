@@ -2,16 +2,20 @@
 
 Small input: the value histogram is sorted per column, and running counts place
 the wanted ranks. That sorts the distinct values of a column in one task, so it is
-used only up to ``DIRECT_ROWS`` rows. Beyond that, ranks are found by repeated narrowing:
-``percentile_approx`` proposes cut values around each wanted rank, exact counts
-against the cuts say between which two cuts the rank lies, and the next round
-looks only there. Each round is two scans that shuffle a handful of numbers, and
-leaves about 4/accuracy of the values, so a few rounds do for any size. The
-sketch only steers the search; the answer comes from exact counts.
+used only up to ``DIRECT_ROWS`` rows.
+
+Beyond that, ranks are found by repeated narrowing, as in a distributed
+quickselect. Pivots around each wanted rank come from about ``PIVOT_ROWS`` random
+rows; exact counts of *all* rows against the pivots then say between which two the
+rank lies, and the next round looks only there. The random rows merely steer the
+search, and a bad pivot costs another round: the answer comes from the exact
+counts. A round is two scans that shuffle about a million values in total, however
+large the input, and leaves under one percent of the values.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +31,9 @@ from tabscope.session import small_frame
 QUARTILES = (0.25, 0.5, 0.75)
 DIRECT_ROWS = 1_000_000
 LEAF_ROWS = 1_000_000
-ACCURACY = 1000
+PIVOT_ROWS = 1_000_000
+ACCURACY = 10_000
+SEED = 17
 COLUMNS_PER_BATCH = 16
 RESULT_SCHEMA = "ordinal int, quantiles array<double>"
 
@@ -61,7 +67,7 @@ def exact_quantiles(
     probabilities: tuple[float, ...] = QUARTILES,
     direct_rows: int = DIRECT_ROWS,
     leaf_rows: int = LEAF_ROWS,
-    accuracy: int = ACCURACY,
+    pivot_rows: int = PIVOT_ROWS,
     infos: list[ColumnInfo] | None = None,
     non_missing: dict[int, int] | None = None,
 ) -> DataFrame:
@@ -74,7 +80,7 @@ def exact_quantiles(
         return direct_quantiles(df, infos, probabilities)
     found = {}
     for batch in batches(infos, COLUMNS_PER_BATCH):
-        found.update(_select(df, batch, counts, probabilities, leaf_rows, accuracy))
+        found.update(_select(df, batch, counts, probabilities, leaf_rows, pivot_rows))
     return small_frame(
         df.sparkSession,
         [(i.ordinal, _interpolated(found[i.ordinal], counts[i.ordinal], probabilities)) for i in infos],
@@ -155,7 +161,7 @@ def _select(
     counts: dict[int, int],
     probabilities: tuple[float, ...],
     leaf_rows: int,
-    accuracy: int,
+    pivot_rows: int,
 ) -> dict[int, dict[int, float]]:
     found: dict[int, dict[int, float]] = {i.ordinal: {} for i in infos}
     open_intervals = [
@@ -164,30 +170,37 @@ def _select(
         if counts[i.ordinal]
     ]
     leaves: list[Interval] = []
-    while True:
+    for turn in itertools.count():
         leaves += [x for x in open_intervals if x.inside <= leaf_rows]
         open_intervals = [x for x in open_intervals if x.inside > leaf_rows]
         if not open_intervals:
             break
-        cuts = _propose_cuts(df, open_intervals, accuracy)
-        open_intervals = _narrow(df, open_intervals, cuts, found)
+        cuts = _propose_cuts(df, open_intervals, pivot_rows, SEED + turn)
+        if any(cuts):
+            open_intervals = _narrow(df, open_intervals, cuts, found)
     if leaves:
         _read_leaves(df, leaves, found)
     return found
 
 
-def _propose_cuts(df: DataFrame, intervals: list[Interval], accuracy: int) -> list[list[float]]:
-    """Values of each interval that enclose its ranks as tightly as the sketch allows."""
-    margin = 2.0 / accuracy
-    sketches = []
+def _propose_cuts(df: DataFrame, intervals: list[Interval], pivot_rows: int, seed: int) -> list[list[float]]:
+    """Pivots that enclose the ranks of each interval; none if no random row fell into it."""
+    members, sketches = [], []
     for k, interval in enumerate(intervals):
+        taken = min(pivot_rows, interval.inside)
+        # Four standard errors of a rank among the random rows, plus the sketch error.
+        margin = (2.0 / math.sqrt(taken) if taken < interval.inside else 0.0) + 2.0 / ACCURACY
         points = set()
         for rank in interval.ranks:
             at = (rank - interval.below + 0.5) / interval.inside
             points |= {max(0.0, at - margin), min(1.0, at + margin)}
-        sketches.append(F.percentile_approx(interval.member(), sorted(points), accuracy).alias(f"c{k}"))
-    row = df.agg(*sketches).first()
-    return [sorted(set(row[f"c{k}"])) for k in range(len(intervals))]
+        member = interval.member()
+        if taken < interval.inside:
+            member = F.when(F.col("_random") < F.lit(taken / interval.inside), member)
+        members.append(member.alias(f"m{k}"))
+        sketches.append(F.percentile_approx(f"m{k}", sorted(points), ACCURACY).alias(f"c{k}"))
+    row = df.select("*", F.rand(seed).alias("_random")).select(members).agg(*sketches).first()
+    return [sorted(set(row[f"c{k}"] or [])) for k in range(len(intervals))]
 
 
 def _narrow(
@@ -257,14 +270,18 @@ def _read_leaves(df: DataFrame, leaves: list[Interval], found: dict[int, dict[in
                 found[leaf.info.ordinal][rank] = row["value"]
 
 
-def approximate_quantiles(df: DataFrame, probabilities: tuple[float, ...] = QUARTILES, accuracy: int = 10_000) -> DataFrame:
-    """Opt-in one-scan variant with rank error at most 1/accuracy."""
+def approximate_quantiles(
+    df: DataFrame, probabilities: tuple[float, ...] = QUARTILES, rows: int = 4 * PIVOT_ROWS
+) -> DataFrame:
+    """Opt-in variant: a count and one scan, from about ``rows`` random rows (all if fewer)."""
     infos = [i for i in column_infos(df) if i.kind == NUMERIC]
     if not infos:
         return small_frame(df.sparkSession, [], RESULT_SCHEMA)
-    agg = df.agg(
+    n = df.count()
+    taken = df if n <= rows else df.where(F.rand(SEED) < F.lit(rows / n))
+    agg = taken.agg(
         *[
-            F.percentile_approx(i.value.cast("double"), list(probabilities), accuracy).alias(f"q{i.ordinal}")
+            F.percentile_approx(i.value.cast("double"), list(probabilities), ACCURACY).alias(f"q{i.ordinal}")
             for i in infos
         ]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,7 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("profile_numeric_narrowing", _numeric_sql("orders"))
 def profile_numeric_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quartile search for large input, forced by low limits."""
-    return _rounded(numeric_stats(table(spark, sf_dir, "orders"), direct_rows=0, leaf_rows=2000, accuracy=100))
+    return _rounded(numeric_stats(table(spark, sf_dir, "orders"), direct_rows=0, leaf_rows=2000, pivot_rows=5000))
 
 
 @register("profile_quantiles_approx")
@@ -207,13 +208,13 @@ PROFILED = ("customer", "orders", "events", "documents")
     ),
 )
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        profile_dataset(spark, table_path(sf_dir, s)).select(
-            F.lit(s).alias("source"), "file_type", "row_count", "column_count", "duplicate_count"
+    def facts(source: str) -> DataFrame:
+        return profile_dataset(spark, table_path(sf_dir, source)).select(
+            F.lit(source).alias("source"), "file_type", "row_count", "column_count", "duplicate_count"
         )
-        for s in PROFILED
-    ]
-    return reduce(DataFrame.unionAll, parts)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return reduce(DataFrame.unionAll, list(pool.map(facts, PROFILED)))
 
 
 REPEATED_SQL = """(SELECT lang, source, n_chars FROM documents UNION ALL
@@ -259,12 +260,12 @@ ROLE_SOURCES = ("customer", "part", "orders", "lineitem", "events", "documents",
 
 @register("roles", union_all([_roles_sql(s) for s in ROLE_SOURCES]))
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for source in ROLE_SOURCES:
+    def flagged(source: str) -> DataFrame:
         stats, rows = profile_columns(table(spark, sf_dir, source), with_quartiles=False)
-        flagged = with_roles(stats, rows)
-        parts.append(flagged.select(F.lit(source).alias("source"), "name", *[f"is_{r}" for r in ROLES]))
-    return reduce(DataFrame.unionAll, parts)
+        return with_roles(stats, rows).select(F.lit(source).alias("source"), "name", *[f"is_{r}" for r in ROLES])
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return reduce(DataFrame.unionAll, list(pool.map(flagged, ROLE_SOURCES)))
 
 
 GAPS_TWICE_SQL = f"(SELECT * FROM {GAPS_SQL} a UNION ALL SELECT * FROM {GAPS_SQL} b WHERE c_mktsegment = 'BUILDING')"

@@ -109,17 +109,20 @@ register_sql(
        JOIN region ON r_regionkey = n_regionkey
        GROUP BY r_name, n_name""",
 )
+# The keys are made distinct first: a customer with very many orders is one key.
 register_sql(
     "sql_join_semi",
     "customer orders",
     """SELECT c_custkey, c_mktsegment FROM customer
-       WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""",
+       WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) o
+                     WHERE o_custkey = c_custkey)""",
 )
 register_sql(
     "sql_join_anti",
     "customer orders",
     """SELECT c_custkey, c_mktsegment FROM customer
-       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""",
+       WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) o
+                     WHERE o_custkey = c_custkey)""",
 )
 # A range condition gets an equality on the band number, so it is no nested loop.
 register_sql(
@@ -377,18 +380,19 @@ register_sql("sql_sample", "lineitem", "SELECT * FROM lineitem TABLESAMPLE (10 P
 # --- set operations -----------------------------------------------------------
 
 BIG, URGENT = "o_totalprice > 250000", "o_orderpriority = '1-URGENT'"
-for name, op in (
-    ("sql_union", "UNION"),
-    ("sql_union_all", "UNION ALL"),
-    ("sql_intersect", "INTERSECT"),
-    ("sql_intersect_all", "INTERSECT ALL"),
-    ("sql_except", "EXCEPT"),
-    ("sql_except_all", "EXCEPT ALL"),
+# INTERSECT and EXCEPT join their sides, so each side is made distinct before.
+for name, op, what in (
+    ("sql_union", "UNION", ""),
+    ("sql_union_all", "UNION ALL", ""),
+    ("sql_intersect", "INTERSECT", "DISTINCT"),
+    ("sql_intersect_all", "INTERSECT ALL", ""),
+    ("sql_except", "EXCEPT", "DISTINCT"),
+    ("sql_except_all", "EXCEPT ALL", ""),
 ):
     register_sql(
         name,
         "orders",
-        f"SELECT o_custkey FROM orders WHERE {BIG} {op} SELECT o_custkey FROM orders WHERE {URGENT}",
+        f"SELECT {what} o_custkey FROM orders WHERE {BIG} {op} SELECT {what} o_custkey FROM orders WHERE {URGENT}",
     )
 
 

@@ -29,10 +29,12 @@ from tabscope.operators.histogram import by_family, text_histogram, typed_histog
 from tabscope.operators.privacy import sample_rows
 from tabscope.operators.quantiles import DIRECT_ROWS, QUARTILES, exact_quantiles, histogram_quantiles
 from tabscope.operators.roles import ROLES, column_warnings, duplicate_warning, role_arrays, with_roles
-from tabscope.session import small_frame
+from tabscope.session import scratch_path, small_frame
 from tabscope.sources.files import dataset_size, detect_file_type, load_dataset, path_exists, resolve_path
 
 TOP_K = 5
+# Text files above this size are written once as a columnar copy for the passes.
+STAGE_BYTES = 256 * 1024 * 1024
 SUMMARY = ["min", "max", "mean", "std"]
 COLUMN_FIELDS = (
     "ordinal int, name string, dtype string, kind string, missing_count bigint, missing_pct double,"
@@ -158,24 +160,28 @@ def profile_frame(
     df: DataFrame,
     path: str = "",
     file_type: str = "",
-    size: DataFrame | None = None,
+    size_bytes: int | None = None,
     coerce: bool = True,
     include_sample: bool = False,
     max_sample_rows: int = 5,
     redact_pii: bool = True,
     direct_rows: int = DIRECT_ROWS,
+    stage: bool = False,
 ) -> DataFrame:
-    """One row: table facts, the column statistics, roles, warnings and an optional sample."""
+    """One row: table facts, the column statistics, roles, warnings and an optional sample.
+
+    ``stage`` writes the typed rows once to the shared folder, so that the passes
+    read only the columns they need instead of parsing text again.
+    """
     typed = coerce_dates(df, detect_date_columns(df)) if coerce else df
+    rows_read = _staged(typed) if stage else typed
     # The passes do not depend on each other; threads let their small stages overlap.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        columns_job = pool.submit(profile_columns, typed, direct_rows)
-        duplicates_job = pool.submit(lambda: duplicate_count(typed).first()["duplicate_count"])
-        size_job = pool.submit(lambda: size.first()["file_size_bytes"] if size is not None else None)
+        columns_job = pool.submit(profile_columns, rows_read, direct_rows)
+        duplicates_job = pool.submit(lambda: duplicate_count(rows_read).first()["duplicate_count"])
         sample_job = pool.submit(_sample, typed, max_sample_rows, redact_pii) if include_sample else None
         columns, rows = columns_job.result()
         repeated = duplicates_job.result()
-        size_bytes = size_job.result()
         sample = sample_job.result() if sample_job else None
     warnings = F.concat(
         F.flatten(
@@ -204,6 +210,14 @@ def profile_frame(
     )
 
 
+def _staged(typed: DataFrame) -> DataFrame:
+    spark = typed.sparkSession
+    path = scratch_path(spark, "typed")
+    renamed = typed.toDF(*[f"c{i}" for i in range(len(typed.columns))])
+    renamed.write.parquet(path)
+    return spark.read.parquet(path).toDF(*typed.columns)
+
+
 def _sample(typed: DataFrame, n: int, redact: bool) -> list[str]:
     rows = sample_rows(typed, n, redact)
     return [r["j"] for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
@@ -215,9 +229,9 @@ def profile_dataset(spark: SparkSession, path: str, file_type: str | None = None
     if not path_exists(spark, full):
         raise FileNotFoundError(f"Dataset not found: {full}")
     kind = file_type or detect_file_type(full)
-    return profile_frame(
-        load_dataset(spark, full, kind), path=full, file_type=kind, size=dataset_size(spark, full), **options
-    )
+    size = dataset_size(spark, full).first()["file_size_bytes"]
+    options.setdefault("stage", kind == "csv" and size > STAGE_BYTES)
+    return profile_frame(load_dataset(spark, full, kind), path=full, file_type=kind, size_bytes=size, **options)
 
 
 def compact_profile(profile: DataFrame, max_warnings: int = 5) -> DataFrame:
