@@ -203,44 +203,56 @@ def _propose_cuts(df: DataFrame, intervals: list[Interval], pivot_rows: int, see
     return [sorted(set(row[f"c{k}"] or [])) for k in range(len(intervals))]
 
 
+def _place(member: Column, cuts: list[float]) -> Column:
+    """2j for a value between cut j-1 and cut j, 2j+1 for a value equal to cut j."""
+    place = None
+    for j, cut in enumerate(cuts):
+        below, equal = member < F.lit(cut), member == F.lit(cut)
+        place = F.when(below, 2 * j) if place is None else place.when(below, 2 * j)
+        place = place.when(equal, 2 * j + 1)
+    return place.when(member.isNotNull(), 2 * len(cuts))
+
+
+def _tally(df: DataFrame, intervals: list[Interval], cuts: list[list[float]]) -> dict[tuple[int, int], int]:
+    """Exact number of values per (interval, place); a few records per task are shuffled."""
+    members = df.select([x.member().alias(f"m{k}") for k, x in enumerate(intervals) if cuts[k]])
+    used = [k for k in range(len(intervals)) if cuts[k]]
+    places = members.select([_place(F.col(f"m{k}"), cuts[k]).alias(f"p{k}") for k in used])
+    pairs = ", ".join(f"{k}, p{k}" for k in used)
+    rows = (
+        places.selectExpr(f"stack({len(used)}, {pairs}) as (interval, place)")
+        .where(F.col("place").isNotNull())
+        .groupBy("interval", "place")
+        .agg(F.count("*").alias("n"))
+        .collect()
+    )
+    return {(r["interval"], r["place"]): r["n"] for r in rows}
+
+
 def _narrow(
     df: DataFrame, intervals: list[Interval], cuts: list[list[float]], found: dict[int, dict[int, float]]
 ) -> list[Interval]:
-    """Exact counts below and at each cut; settle ranks that hit a cut, keep the gaps of the rest."""
-    tallies = []
-    for k, (interval, values) in enumerate(zip(intervals, cuts)):
-        member = interval.member()
-        for j, cut in enumerate(values):
-            tallies += [
-                F.count_if(member < F.lit(cut)).alias(f"lt{k}_{j}"),
-                F.count_if(member == F.lit(cut)).alias(f"eq{k}_{j}"),
-            ]
-    row = df.agg(*tallies).first()
-
+    """Settle the ranks that hit a cut; keep the gap between two cuts for each of the others."""
+    tally = _tally(df, intervals, cuts)
     remaining: dict[tuple, Interval] = {}
     for k, (interval, values) in enumerate(zip(intervals, cuts)):
+        if not values:
+            remaining[(k,)] = interval
+            continue
+        bounds = [interval.low, *values, interval.high]
         for rank in interval.ranks:
-            local = rank - interval.below
-            low, start = interval.low, 0
-            for j, cut in enumerate(values):
-                lt, eq = row[f"lt{k}_{j}"], row[f"eq{k}_{j}"]
-                if local < lt:
-                    high, size = cut, lt - start
-                    break
-                if local < lt + eq:
-                    found[interval.info.ordinal][rank] = cut
-                    high = None
-                    size = 0
+            start = interval.below
+            for place in range(2 * len(values) + 1):
+                size = tally.get((k, place), 0)
+                if rank < start + size:
                     break
-                low, start = cut, lt + eq
-            else:
-                high, size = interval.high, interval.inside - start
-            if rank not in found[interval.info.ordinal]:
-                gap = remaining.setdefault(
-                    (interval.info.ordinal, low, high),
-                    Interval(interval.info, low, high, interval.below + start, size),
-                )
-                gap.ranks.append(rank)
+                start += size
+            j, equal = divmod(place, 2)
+            if equal:
+                found[interval.info.ordinal][rank] = values[j]
+                continue
+            gap = remaining.setdefault((k, j), Interval(interval.info, bounds[j], bounds[j + 1], start, size))
+            gap.ranks.append(rank)
     return list(remaining.values())
 
 
