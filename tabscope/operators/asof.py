@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_SECONDS = 3600
+SLICE_ROWS = 1_000_000
 
 
 def asof_join(
@@ -16,7 +16,7 @@ def asof_join(
     time: str,
     values: list[str],
     strict: bool = False,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """All left rows with ``values`` of the latest right row of the same key.
 
@@ -27,10 +27,14 @@ def asof_join(
     A key may hold a large share of all rows, so no window spans a key. Time is
     cut into slices: inside a (key, slice) group a window finds the latest right
     row, and across slices only the last right row of each slice is carried on.
+    By default slices are short enough to hold about ``SLICE_ROWS`` rows of all
+    keys together.
     """
+    right = right.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    micros = max(1, int((slice_seconds or _slice_seconds(left, right, time)) * 1_000_000))
     payload = F.struct(F.col(time).alias("_time"), *[F.col(v) for v in values])
     first, second = (0, 1) if strict else (1, 0)
-    part = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / slice_seconds)
+    part = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(micros))
 
     lefts = left.withColumn("_slice", part).withColumn("_order", F.lit(first)).withColumn("_row", F.struct(*left.columns))
     rights = right.withColumn("_slice", part).withColumn("_order", F.lit(second)).withColumn("_right", payload)
@@ -51,3 +55,12 @@ def asof_join(
     hit: Column = F.coalesce("_hit", "_carry")
     joined = matched.join(carried, [key, "_slice"], "left").withColumn("_found", hit)
     return joined.select("_row.*", *[F.col("_found")[v].alias(f"asof_{v}") for v in values])
+
+
+def _slice_seconds(left: DataFrame, right: DataFrame, time: str) -> float:
+    """Seconds in which both sides have about ``SLICE_ROWS`` rows; reads the time columns only."""
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
+    both = left.select(seconds.alias("s")).unionAll(right.select(seconds.alias("s")))
+    n, low, high = both.agg(F.count("s"), F.min("s"), F.max("s")).first()
+    span = (high - low) if n else 0.0
+    return max(span * SLICE_ROWS / n, 0.001) if span else 1.0

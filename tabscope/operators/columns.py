@@ -85,9 +85,9 @@ def _complete(df: DataFrame, found: DataFrame, infos: list[ColumnInfo], count_na
     )
 
 
-def approx_distinct_stats(df: DataFrame, rsd: float = 0.02) -> DataFrame:
+def approx_distinct_stats(df: DataFrame, rsd: float = 0.02, infos: list[ColumnInfo] | None = None) -> DataFrame:
     """Opt-in variant of ``distinct_stats``: one scan, no shuffle of values."""
-    infos = column_infos(df)
+    infos = infos or column_infos(df)
     agg = df.agg(*[F.approx_count_distinct(i.key, rsd).alias(f"u{i.ordinal}") for i in infos])
     return rows_per_column(
         agg, [F.struct(*_identity(i), F.col(f"u{i.ordinal}").alias("unique_count")) for i in infos]
@@ -157,7 +157,7 @@ def top_from_histogram(hist: DataFrame, k: int) -> DataFrame:
     return (
         hist.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("ordinal", "rank", "head", "digest", "cnt")
+        .select("ordinal", "rank", "head", "digest", "cnt", "nulls")
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabscope.functions.names import col
 from tabscope.functions.text import pii_counts, redact_text

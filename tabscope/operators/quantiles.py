@@ -77,7 +77,7 @@ def exact_quantiles(
         return small_frame(df.sparkSession, [], RESULT_SCHEMA)
     counts = non_missing or _non_missing(df, infos)
     if max(counts.values()) <= direct_rows:
-        return direct_quantiles(df, infos, probabilities)
+        return direct_quantiles(df, infos, counts, probabilities)
     found = {}
     for batch in batches(infos, COLUMNS_PER_BATCH):
         found.update(_select(df, batch, counts, probabilities, leaf_rows, pivot_rows))
@@ -88,29 +88,32 @@ def exact_quantiles(
     )
 
 
-def direct_quantiles(df: DataFrame, infos: list[ColumnInfo], probabilities: tuple[float, ...]) -> DataFrame:
+def direct_quantiles(
+    df: DataFrame, infos: list[ColumnInfo], counts: dict[int, int], probabilities: tuple[float, ...]
+) -> DataFrame:
     """Quantiles from value histograms, for row counts known to be small."""
     parts = [
-        histogram_quantiles(typed_histogram(df, family), probabilities).select("ordinal", "quantiles")
+        histogram_quantiles(typed_histogram(df, family), counts, probabilities).select("ordinal", "quantiles")
         for family in by_family(infos).values()
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
-def histogram_quantiles(hist: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
-    """``ordinal, unique_count, quantiles`` of a small histogram.
+def histogram_quantiles(hist: DataFrame, counts: dict[int, int], probabilities: tuple[float, ...]) -> DataFrame:
+    """``ordinal, unique_count, quantiles`` of a small histogram; ``counts`` are the non-missing rows.
 
     The distinct values of a column are sorted in one task (the sort spills), and
     running counts place each value, so that a wanted rank falls on one value.
     """
-    group = W.partitionBy("ordinal")
-    value = F.col("value").cast("double")
-    placed = hist.select("ordinal", "cnt", value.alias("value")).select(
+    # Values are distinct, so a frame of rows is also a frame of values.
+    running = W.partitionBy("ordinal").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows_of = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    placed = hist.select("ordinal", "cnt", F.col("value").cast("double").alias("value")).select(
         "ordinal",
         "value",
         "cnt",
-        F.sum("cnt").over(group.orderBy("value")).alias("last"),
-        F.sum("cnt").over(group).alias("n"),
+        F.sum("cnt").over(running).alias("last"),
+        F.try_element_at(rows_of, F.col("ordinal")).alias("n"),
     )
     first = F.col("last") - F.col("cnt")
 

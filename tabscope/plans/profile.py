@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.operators.classes import NUMERIC, OTHER, TEMPORAL, ColumnInfo, column_infos
+from tabscope.operators.classes import NUMERIC, OTHER, TEMPORAL, ColumnInfo, batches, column_infos
 from tabscope.operators.coerce import coerce_dates, detect_date_columns
 from tabscope.operators.columns import (
+    approx_distinct_stats,
     collect_top_values,
     missing_pct,
     moment_expressions,
@@ -27,12 +29,19 @@ from tabscope.operators.columns import (
 from tabscope.operators.duplicates import duplicate_count
 from tabscope.operators.histogram import by_family, text_histogram, typed_histogram
 from tabscope.operators.privacy import sample_rows
-from tabscope.operators.quantiles import DIRECT_ROWS, QUARTILES, exact_quantiles, histogram_quantiles
+from tabscope.operators.quantiles import (
+    DIRECT_ROWS,
+    QUARTILES,
+    approximate_quantiles,
+    exact_quantiles,
+    histogram_quantiles,
+)
 from tabscope.operators.roles import ROLES, column_warnings, duplicate_warning, role_arrays, with_roles
 from tabscope.session import scratch_path, small_frame
 from tabscope.sources.files import dataset_size, detect_file_type, load_dataset, path_exists, resolve_path
 
 TOP_K = 5
+SCAN_COLUMNS = 100
 # Text files above this size are written once as a columnar copy for the passes.
 STAGE_BYTES = 256 * 1024 * 1024
 SUMMARY = ["min", "max", "mean", "std"]
@@ -56,7 +65,15 @@ def inspect_frame(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("row_count")).select(F.inline(F.array(*records)), "row_count")
 
 
-def _scan_statistics(df: DataFrame, infos: list[ColumnInfo]):
+def _scan_statistics(df: DataFrame, infos: list[ColumnInfo]) -> dict[str, Any]:
+    """Row count, missing values, moments and ranges; wide tables in batches of columns."""
+    found = {"rows": 0}
+    for batch in batches(infos, SCAN_COLUMNS):
+        found.update(_scan_batch(df, batch).asDict())
+    return found
+
+
+def _scan_batch(df: DataFrame, infos: list[ColumnInfo]) -> Row:
     exprs = [F.count("*").alias("rows")]
     for i in infos:
         exprs.append(F.count_if(i.is_missing).alias(f"missing{i.ordinal}"))
@@ -64,7 +81,6 @@ def _scan_statistics(df: DataFrame, infos: list[ColumnInfo]):
             exprs += moment_expressions(i)
         elif i.kind == TEMPORAL:
             exprs += [F.min(i.value).alias(f"lo{i.ordinal}"), F.max(i.value).alias(f"hi{i.ordinal}")]
-    agg = df.agg(*exprs)
     shown = ["rows"]
     for i in infos:
         missing = F.col(f"missing{i.ordinal}")
@@ -73,74 +89,88 @@ def _scan_statistics(df: DataFrame, infos: list[ColumnInfo]):
             shown += [f"{s}{i.ordinal}" for s in SUMMARY]
         elif i.kind == TEMPORAL:
             shown += [timestamp_text(F.col(f"{e}{i.ordinal}")).alias(f"{e}{i.ordinal}") for e in ("lo", "hi")]
-    return agg.select(*shown).first()
+    return df.agg(*exprs).select(*shown).first()
 
 
-def _typed_statistics(df: DataFrame, members: list[ColumnInfo], small: bool) -> list[Row]:
-    """``ordinal, unique_count, quantiles``; quartiles only where the input is known to be small."""
+def _typed_statistics(df: DataFrame, members: list[ColumnInfo], counts: dict[int, int] | None) -> list[Row]:
+    """``ordinal, unique_count, quantiles``; quartiles only with the counts of small input."""
     hist = typed_histogram(df, members)
-    if small and any(i.kind == NUMERIC for i in members):
-        return histogram_quantiles(hist, QUARTILES).collect()
+    if counts and any(i.kind == NUMERIC for i in members):
+        return histogram_quantiles(hist, counts, QUARTILES).collect()
     counts = hist.groupBy("ordinal").agg(F.count("*").alias("unique_count"))
     return counts.withColumn("quantiles", F.lit(None).cast("array<double>")).collect()
 
 
-def _text_statistics(df: DataFrame, members: list[ColumnInfo]) -> list[Row]:
-    """Distinct counts (rank 0) and top values of text columns; both share one exchange."""
+def text_statistics(df: DataFrame, members: list[ColumnInfo]) -> DataFrame:
+    """Distinct counts (rank 0) and top values of text columns.
+
+    Both halves use the same columns of one histogram, so that they share its exchange.
+    """
     hist = text_histogram(df, members)
     counts = hist.groupBy("ordinal").agg(F.count_if(F.col("cnt") > F.col("nulls")).alias("cnt"))
-    nothing = F.lit(None).cast("string")
-    others = [i.ordinal for i in members if i.kind == OTHER]
-    best = top_from_histogram(hist.where(F.col("ordinal").isin(others)), TOP_K)
-    return (
-        counts.select("ordinal", F.lit(0).alias("rank"), nothing.alias("head"), nothing.alias("digest"), "cnt")
-        .unionAll(best)
-        .collect()
-    )
-
-
-def _value_statistics(df: DataFrame, infos: list[ColumnInfo], small: bool) -> tuple[dict, dict, dict]:
-    """Distinct counts, quartiles (small input only) and top values from value histograms."""
+    text = F.lit(None).cast("string")
+    return counts.select(
+        "ordinal",
+        F.lit(0).alias("rank"),
+        text.alias("head"),
+        text.alias("digest"),
+        "cnt",
+        F.lit(None).cast("bigint").alias("nulls"),
+    ).unionAll(top_from_histogram(hist, TOP_K))
+
+
+def _value_statistics(
+    df: DataFrame, infos: list[ColumnInfo], counts: dict[int, int] | None
+) -> tuple[dict, dict, dict]:
+    """Distinct counts, quartiles (with the counts of small input) and top values from value histograms."""
     distinct: dict[int, int] = {}
     quartiles: dict[int, list[float]] = {}
     tops: dict[int, list[tuple[str, int]]] = {}
     families = by_family(infos)
     text = families.pop("string", [])
-    decimals = [i for i in text if i.kind == NUMERIC] if small else []
+    decimals = [i for i in text if i.kind == NUMERIC] if counts else []
     # The families are independent queries over different columns.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        typed = [pool.submit(_typed_statistics, df, members, small) for members in families.values()]
-        texts = pool.submit(_text_statistics, df, text) if text else None
-        exact = pool.submit(lambda: exact_quantiles(df, infos=decimals).collect()) if decimals else None
+        typed = [pool.submit(_typed_statistics, df, members, counts) for members in families.values()]
+        texts = pool.submit(lambda: text_statistics(df, text).collect()) if text else None
+        exact = pool.submit(lambda: exact_quantiles(df, infos=decimals, non_missing=counts).collect()) if decimals else None
         for r in [r for job in typed for r in job.result()]:
             distinct[r["ordinal"]] = r["unique_count"]
             quartiles[r["ordinal"]] = r["quantiles"]
         if texts:
             rows = texts.result()
             distinct.update({r["ordinal"]: r["cnt"] for r in rows if r["rank"] == 0})
-            tops = collect_top_values(df, [r for r in rows if r["rank"] > 0])
+            others = {i.ordinal for i in text if i.kind == OTHER}
+            tops = collect_top_values(df, [r for r in rows if r["rank"] > 0 and r["ordinal"] in others])
         if exact:
             quartiles.update({r["ordinal"]: r["quantiles"] for r in exact.result()})
     return distinct, quartiles, tops
 
 
 def profile_columns(
-    df: DataFrame, direct_rows: int = DIRECT_ROWS, with_quartiles: bool = True
+    df: DataFrame, direct_rows: int = DIRECT_ROWS, with_quartiles: bool = True, approximate: bool = False
 ) -> tuple[DataFrame, int]:
     """The statistics table (one row per column) and the row count.
 
-    Roles and warnings do not need quartiles and can leave them out.
+    Roles and warnings do not need quartiles and can leave them out. With
+    ``approximate``, distinct counts of numeric and temporal columns and all
+    quartiles are estimates, which spares the shuffle of their values.
     """
     infos = column_infos(df)
     scan = _scan_statistics(df, infos)
     rows = scan["rows"]
     small = rows <= direct_rows
-    distinct, quartiles, tops = _value_statistics(df, infos, small and with_quartiles)
-    if with_quartiles and not small:
-        non_missing = {i.ordinal: rows - scan[f"missing{i.ordinal}"] for i in infos if i.kind == NUMERIC}
-        if non_missing:
-            found = exact_quantiles(df, infos=infos, non_missing=non_missing, direct_rows=direct_rows)
-            quartiles = {r["ordinal"]: r["quantiles"] for r in found.collect()}
+    exact = [i for i in infos if i.kind == OTHER] if approximate else infos
+    non_missing = {i.ordinal: rows - scan[f"missing{i.ordinal}"] for i in infos}
+    distinct, quartiles, tops = _value_statistics(df, exact, non_missing if small and with_quartiles else None)
+    if approximate:
+        estimated = [i for i in infos if i.kind != OTHER]
+        counts = approx_distinct_stats(df, infos=estimated).collect() if estimated else []
+        distinct.update({r["ordinal"]: r["unique_count"] for r in counts})
+        quartiles = {r["ordinal"]: r["quantiles"] for r in approximate_quantiles(df).collect()}
+    elif with_quartiles and not small:
+        found = exact_quantiles(df, infos=infos, non_missing=non_missing, direct_rows=direct_rows)
+        quartiles = {r["ordinal"]: r["quantiles"] for r in found.collect()}
     records = []
     for i in infos:
         numeric, temporal = i.kind == NUMERIC, i.kind == TEMPORAL
@@ -167,17 +197,20 @@ def profile_frame(
     redact_pii: bool = True,
     direct_rows: int = DIRECT_ROWS,
     stage: bool = False,
+    approximate: bool = False,
 ) -> DataFrame:
     """One row: table facts, the column statistics, roles, warnings and an optional sample.
 
     ``stage`` writes the typed rows once to the shared folder, so that the passes
-    read only the columns they need instead of parsing text again.
+    read only the columns they need instead of parsing text again. ``approximate``
+    trades exact distinct counts and quartiles for fewer passes; a column is then
+    seldom an identifier by uniqueness alone.
     """
     typed = coerce_dates(df, detect_date_columns(df)) if coerce else df
     rows_read = _staged(typed) if stage else typed
     # The passes do not depend on each other; threads let their small stages overlap.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        columns_job = pool.submit(profile_columns, rows_read, direct_rows)
+        columns_job = pool.submit(profile_columns, rows_read, direct_rows, approximate=approximate)
         duplicates_job = pool.submit(lambda: duplicate_count(rows_read).first()["duplicate_count"])
         sample_job = pool.submit(_sample, typed, max_sample_rows, redact_pii) if include_sample else None
         columns, rows = columns_job.result()

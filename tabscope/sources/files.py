@@ -58,8 +58,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
     base = F.lit(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", resolve_path(root)).rstrip("/") + "/")
     bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    below = F.when(bare.startswith(base), F.substr(bare, F.length(base) + 1)).otherwise(bare)
-    return files.withColumn("rel_path", below)
+    # The listing may name a host before the folder that ``root`` leaves out.
+    at = F.instr(bare, base)
+    return files.withColumn("rel_path", F.when(at > 0, F.substr(bare, at + F.length(base))).otherwise(bare))
 
 
 def dataset_size(spark: SparkSession, path: str) -> DataFrame:

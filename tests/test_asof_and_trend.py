@@ -19,7 +19,7 @@ START = datetime.datetime(2024, 1, 1)
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("slice_seconds", [60, 100_000])
+@pytest.mark.parametrize("slice_seconds", [0.5, 60, None])
 def test_asof_with_a_hot_key(spark, strict, slice_seconds):
     rng = random.Random(3)
 
@@ -37,6 +37,15 @@ def test_asof_with_a_hot_key(spark, strict, slice_seconds):
     assert got == want
 
 
+def test_asof_without_key_or_time(spark):
+    rows = [(None, START, 1), ("a", None, 2), ("a", START, 3)]
+    left = spark.createDataFrame(rows, "k string, t timestamp_ntz, l int")
+    right = spark.createDataFrame(rows, "k string, t timestamp_ntz, r int")
+    got = {r["l"]: r["asof_r"] for r in asof_join(left, right, "k", "t", ["r"]).collect()}
+    assert got == {1: None, 2: None, 3: 3}
+    assert asof_join(left, right.limit(0), "k", "t", ["r"]).where("asof_r is null").count() == 3
+
+
 @pytest.fixture(scope="module")
 def sales(spark):
     rows = [

@@ -10,6 +10,7 @@ from tabscope.operators.histogram import text_histogram
 from tabscope.operators.trend import change_by_dimension, metric_by_dimension
 from tabscope.plans.coverage import QUERIES
 from tabscope.plans.coverage.registry import table
+from tabscope.plans.profile import text_statistics
 
 
 def plan(df) -> str:
@@ -29,6 +30,14 @@ def test_top_values_cut_early(spark, sf_dir):
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
 
 
+def test_distinct_and_top_values_share_the_shuffle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    df = text_statistics(docs, [i for i in column_infos(docs) if i.dtype == "string"])
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
 def test_trend_scan_is_narrow_and_filtered(spark, sf_dir):
     text = plan(change_by_dimension(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "o_orderstatus", "1997-03", "1997-02"))
     scan = next(line for line in text.splitlines() if "FileScan" in line)

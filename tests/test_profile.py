@@ -6,12 +6,14 @@ import decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabscope import compact_profile, inspect_dataset, profile_dataset, profile_frame
 from tabscope.operators.coerce import coerce_dates, detect_date_columns
 from tabscope.operators.columns import distinct_stats, missing_stats, numeric_stats, top_values
 from tabscope.operators.duplicates import duplicate_count
 from tabscope.operators.privacy import sample_rows
+from tabscope.plans.profile import profile_columns
 from tabscope.sources.files import detect_file_type, load_dataset
 
 
@@ -126,6 +128,21 @@ def test_empty_and_one_row(spark):
     assert one["a"]["std"] is None and one["a"]["q25"] == 5.0
 
 
+def test_wide_table(spark):
+    df = spark.range(3).select("id", *[(F.col("id") * i % 3).alias(f"c{i}") for i in range(130)])
+    stats, rows = profile_columns(df)
+    assert rows == 3 and stats.count() == 131
+    assert stats.where("missing_count = 0 and unique_count > 0 and q50 is not null").count() == 131
+
+
+def test_approximate_profile(spark):
+    df = spark.range(2000).selectExpr("id", "cast(id % 10 as double) v", "concat('t', id % 3) t", "true flag")
+    found = columns_of(profile_frame(df, approximate=True))
+    assert found["v"]["unique_count"] == 10 and found["t"]["unique_count"] == 3 and found["flag"]["unique_count"] == 1
+    assert found["id"]["unique_count"] == pytest.approx(2000, rel=0.1) and found["id"]["q50"] == pytest.approx(1000, abs=5)
+    assert found["flag"]["q50"] is None and found["t"]["top_values"][0]["count"] == 667
+
+
 def test_odd_column_names(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x")], "`a.b c` bigint, `t``k` string")
     profile = profile_frame(df)
