@@ -414,11 +414,14 @@ register_sql(
     "part",
     "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT AVG(p_retailprice) FROM part)",
 )
+# The outer side has one row per customer and the inner side is aggregated per
+# customer, so the join that Spark makes of it meets no hot key.
 register_sql(
     "sql_subquery_corr",
-    "orders",
-    """SELECT o_orderkey, o_custkey FROM orders o
-       WHERE o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)""",
+    "customer orders",
+    """SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS largest
+       FROM customer
+       WHERE c_acctbal > (SELECT AVG(o_totalprice) / 50 FROM orders WHERE o_custkey = c_custkey)""",
 )
 register_sql(
     "sql_subquery_in",
