@@ -12,7 +12,8 @@ from tabscope.operators.trend import (
     month_over_month,
     monthly_sum,
 )
-from tabscope.plans.coverage.registry import register, table
+from tabscope.plans.coverage.registry import register, table, table_path
+from tabscope.plans.trend import dataset_trend
 
 
 def money(name: str) -> Column:
@@ -45,6 +46,17 @@ for _source, (_date, _metric) in INPUTS.items():
     _register_trend(_source, _date, _metric)
 
 
+@register(
+    "dataset_trend",
+    """SELECT strftime(l_shipdate, '%Y-%m') AS month,
+              CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY 1""",
+)
+def trend_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns are chosen from the roles: ship date and extended price."""
+    trend = dataset_trend(spark, table_path(sf_dir, "lineitem"))
+    return trend.withColumn("total", F.round("total", 2))
+
+
 MONTHS = """SELECT strftime(o_orderdate, '%Y-%m') AS month, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total
             FROM orders GROUP BY 1"""
 

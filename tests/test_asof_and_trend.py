@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tabscope import frame_trend
 from tabscope.operators.asof import asof_join
 from tabscope.operators.trend import (
     change_by_dimension,
@@ -79,6 +80,13 @@ def test_metric_by_dimension(sales):
     assert sum(r[2] for r in rows) == pytest.approx(1.0)
 
 
+def test_trend_of_a_table(spark, sales):
+    assert [r["total"] for r in frame_trend(sales).collect()] == [10.0, 150.0, 300.0, 150.0]
+    years = spark.createDataFrame([(2024, 1.0), (2025, 2.0)], "year int, amount double")
+    assert frame_trend(years) is None
+    assert frame_trend(sales.select("region", "revenue")) is None
+
+
 def test_choice_of_columns():
     roles = {"date_columns": ["d", "e"], "revenue_columns": [], "metric_columns": ["m"]}
     assert choose_trend_columns(roles) == ("d", "m")
