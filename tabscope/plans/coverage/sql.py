@@ -254,7 +254,9 @@ register_sql(
     "sql_mode",
     "documents",
     "SELECT source, mode() WITHIN GROUP (ORDER BY lang) AS usual_lang FROM documents GROUP BY source",
-    "SELECT source, mode(lang) AS usual_lang FROM documents GROUP BY source",
+    # mode() takes any of several equally frequent values there; here the least one counts.
+    """SELECT source, lang AS usual_lang FROM (SELECT source, lang, COUNT(*) AS n FROM documents GROUP BY ALL)
+       QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1""",
 )
 register_sql(
     "sql_arg_max",
