@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabscope.session import scratch_path
 
@@ -50,7 +52,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def map_columns(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], Iterator[dict]],
-    schema: str,
+    schema: str | StructType,
     setup: Callable[[], object] | None = None,
     rows: int = 512,
 ) -> DataFrame:
@@ -59,10 +61,8 @@ def map_columns(
     It returns a dict of columns. ``state`` is what ``setup`` made once per task.
     Small slices bound the memory of a task whatever the Arrow batch size is.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
 
     def run(batches):
         state = setup() if setup is not None else None

@@ -69,3 +69,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabscope.llm.packing import best_fit
 
     return best_fit(read_table(spark, sf_dir, "documents"), public_tokens())
+
+
+@query("op9_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.simhash import simhash_components
+
+    return simhash_components(read_table(spark, sf_dir, "documents"))
