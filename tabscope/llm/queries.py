@@ -76,3 +76,13 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabscope.llm.simhash import simhash_components
 
     return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.mixing import draw
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return draw(docs).select(
+        "_doc.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")
+    )
