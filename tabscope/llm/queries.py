@@ -86,3 +86,13 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(docs).select(
         "_doc.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")
     )
+
+
+@query("op4_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.pii import find_pii
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    keyed = docs.select("doc_id", F.col("text").alias("body"))
+    found = find_pii(keyed, "body", redacted=False)
+    return found.select("_doc.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
