@@ -149,3 +149,13 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return digests(format_conversations(turns.unionByName(hostile)))
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.langid import fit, identify_languages
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs.where(fold("doc_id", 3) != 1).select("text", "lang"))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("_doc.doc_id", (fold("_doc.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

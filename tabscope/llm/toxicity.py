@@ -37,20 +37,29 @@ from tabscope.llm.common import map_columns, texts
 EXAMPLES, TERMS, NEIGHBOURS = 2_000, 512, 15
 #: Entries of an index block.
 BLOCK = 32
-#: Least chi-square of a term, least examples that have it.
-LEAST_CHI, LEAST_EXAMPLES = 25.0, 4
-#: Weight of the constant component, and of the prior share among the votes.
-CONSTANT, PRIOR = 1.0, 0.05
+#: Least chi-square of a term, and the least number and share of examples that have it:
+#: a group of copies must not make terms of its own.
+LEAST_CHI, LEAST_EXAMPLES, LEAST_SHARE = 25.0, 4, 0.005
+#: Weight of the constant component and of the prior share among the votes; power of similarities.
+CONSTANT, PRIOR, SHARPNESS = 1.0, 0.05, 8
+#: Lengths of word beginnings that count as terms.
+STEMS = (4, 5)
 MARKS = ".,;:!?\"'()[]{}<>*_-"
 
 
-def terms_of(text: str) -> Counter:
-    """Lower-case words without the marks around them."""
+def terms_of(text: str, known=None) -> Counter:
+    """Lower-case words without the marks around them, and the beginnings of longer words.
+
+    A beginning ("word~") lets an unseen ending of a known stem count. ``known`` keeps
+    only the terms it holds.
+    """
     out: Counter = Counter()
     for word, n in Counter(text.lower().split()).items():
         bare = word.strip(MARKS)
         if bare:
-            out[bare] += n
+            for term in (bare, *(bare[:k] + "~" for k in STEMS if len(bare) > k)):
+                if known is None or term in known:
+                    out[term] += n
     return out
 
 
@@ -64,7 +73,7 @@ def select_terms(examples: list[tuple[set[str], int]], most: int = TERMS) -> lis
             toxic.update(words)
     scored = []
     for t, a in seen.items():
-        if a >= LEAST_EXAMPLES and a < n:
+        if max(LEAST_EXAMPLES, LEAST_SHARE * n) <= a < n:
             over = toxic[t] * n - a * pos
             chi = n * over * over / (a * (n - a) * max(1, pos * (n - pos)))
             if chi >= LEAST_CHI:
@@ -118,7 +127,8 @@ class Index:
         if not len(self.vectors):
             return self.share, []
         at, sims = self.nearest(query, k)
-        weights = np.maximum(sims, 0.0) ** 8
+        # relative to the nearest: how far the examples lie must not favour the prior
+        weights = (np.maximum(sims, 0.0) / max(float(sims.max()), 1e-12)) ** SHARPNESS
         toxic, clean = float(weights @ self.toxic[at]), float(weights @ self.clean[at])
         score = (toxic + PRIOR * self.share) / (toxic + clean + PRIOR)
         best = at[np.lexsort((self.evidence[at], -sims))[:3]]
@@ -175,7 +185,7 @@ def document_counts(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[
     def run(batch, _) -> dict:
         found = np.zeros(len(terms) + 1, np.int64)
         for t in texts(batch, text):
-            for term in terms_of(t).keys() & terms.keys():
+            for term in terms_of(t, terms):
                 found[terms[term]] += 1
         found[0] = batch.num_rows
         at = np.flatnonzero(found)
@@ -207,8 +217,8 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text", neighbours
         known, index = state
         scores, evidence = [], []
         for t in texts(batch, "_text"):
-            counts = terms_of(t)
-            key = tuple(sorted((term, counts[term]) for term in counts.keys() & index.terms.keys()))
+            counts = terms_of(t, index.terms)
+            key = tuple(sorted(counts.items()))
             if key not in known:
                 if len(known) > 20_000:
                     known.clear()
