@@ -159,3 +159,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs.where(fold("doc_id", 3) != 1).select("text", "lang"))
     found = identify_languages(docs.select("doc_id", "text"), model)
     return found.select("_doc.doc_id", (fold("_doc.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.licenses import scan_licenses
+
+    found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("_doc.doc_id", "n_hits", "licenses", "best_coverage", "hits")

@@ -23,6 +23,7 @@ passed through.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ EXAMPLES, TERMS, NEIGHBOURS = 2_000, 512, 15
 #: Entries of an index block.
 BLOCK = 32
 #: Least chi-square of a term, and the least number and share of examples that have it:
-#: a group of copies must not make terms of its own.
+#: what a few texts have in common makes no term.
 LEAST_CHI, LEAST_EXAMPLES, LEAST_SHARE = 25.0, 4, 0.005
 #: Weight of the constant component and of the prior share among the votes; power of similarities.
 CONSTANT, PRIOR, SHARPNESS = 1.0, 0.05, 8
@@ -157,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text="text", label=
         (r["_id"], r["y"], terms_of(r["text"] or ""))
         for r in labelled_examples(docs, labels, id_col, text, label, each).collect()  # bounded by 2 * each
     ) if shares["n"] else []
-    chosen = select_terms([(set(c), y) for _, y, c in rows])
+    # near copies share their least word hash; only one of them speaks for a term
+    apart = {min((zlib.crc32(t.encode()) for t in c), default=id_): (set(c), y) for id_, y, c in rows}
+    chosen = select_terms(list(apart.values()))
     terms = {t: i + 1 for i, t in enumerate(chosen)}
     n, counts = document_counts(docs, text, terms)
     idf = np.concatenate([[CONSTANT], np.log((n + 1) / (counts + 1)) + 1])
