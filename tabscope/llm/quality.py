@@ -240,13 +240,14 @@ def quality_table(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only and without a shuffle.
 
-    Counts are computed in two passes over the texts (votes, then verdicts): a join of
-    verdicts back to the texts would shuffle every text and need a key without repeats.
+    Rows are written with their counts, once: a join of verdicts back to the rows would
+    shuffle every text and need a key without repeats, and a filter on counts that are
+    not written would be pushed below them, holding each count in full many times.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     wide = docs.select(own, F.col(f"`{text}`").alias("_text"))
-    model = fit_features(add_features(wide.select("_text"), "_text"))
-    return judge(add_features(wide, "_text"), model).where("kept").select("_row.*")
+    featured = saved(add_features(wide, "_text").select("_row", *FEATURES, *HELPERS), "quality")
+    return judge(featured, fit_features(featured)).where("kept").select("_row.*")
 
 
 __all__ = ["add_features", "count_words", "fit", "judge", "keep_good", "quality_table"]
