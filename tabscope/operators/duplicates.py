@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from tabscope.functions.names import col
 
-BROADCAST_HASHES = 1_000_000
-
 
 def _groupable(df: DataFrame) -> DataFrame:
     """Maps and variants cannot be grouped; their JSON text can."""
@@ -29,13 +27,13 @@ def _ungroupable(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.StructType) and any(_ungroupable(f.dataType) for f in data_type.fields)
 
 
-def duplicate_count(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def duplicate_count(df: DataFrame) -> DataFrame:
     """One row ``duplicate_count``: rows that repeat another row on all columns.
 
     Equal rows have equal hashes, so a first pass shuffles 8 bytes per row and
     usually shows that nothing repeats. Only rows whose hash repeats are then
-    compared in full. The repeated hashes are broadcast while few; beyond that
-    all rows are grouped. Copies of one row collapse before the shuffle.
+    compared in full; Spark broadcasts the repeated hashes by their measured size.
+    Copies of one row collapse in each task before they are shuffled.
     """
     rows = _groupable(df)
     repeated = (
@@ -44,15 +42,13 @@ def duplicate_count(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) ->
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > 1)
     )
-    hashes = repeated.count()
-    if hashes == 0:
+    if repeated.isEmpty():
         return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_count"))
-    if hashes <= broadcast_hashes:
-        rows = (
-            rows.withColumn("_hash", F.xxhash64(*[col(c) for c in rows.columns]))
-            .join(F.broadcast(repeated.select("_hash")), "_hash", "left_semi")
-            .drop("_hash")
-        )
+    rows = (
+        rows.withColumn("_hash", F.xxhash64(*[col(c) for c in rows.columns]))
+        .join(repeated.select("_hash"), "_hash", "left_semi")
+        .drop("_hash")
+    )
     return (
         rows.groupBy([col(c) for c in rows.columns])
         .agg(F.count("*").alias("_n"))

@@ -285,16 +285,12 @@ def _read_leaves(df: DataFrame, leaves: list[Interval], found: dict[int, dict[in
                 found[leaf.info.ordinal][rank] = row["value"]
 
 
-def approximate_quantiles(
-    df: DataFrame, probabilities: tuple[float, ...] = QUARTILES, rows: int = 4 * PIVOT_ROWS
-) -> DataFrame:
-    """Opt-in variant: a count and one scan, from about ``rows`` random rows (all if fewer)."""
+def approximate_quantiles(df: DataFrame, probabilities: tuple[float, ...] = QUARTILES) -> DataFrame:
+    """Opt-in variant: mergeable sketches of all rows, in one scan."""
     infos = [i for i in column_infos(df) if i.kind == NUMERIC]
     if not infos:
         return small_frame(df.sparkSession, [], RESULT_SCHEMA)
-    n = df.count()
-    taken = df if n <= rows else df.where(F.rand(SEED) < F.lit(rows / n))
-    agg = taken.agg(
+    agg = df.agg(
         *[
             F.percentile_approx(i.value.cast("double"), list(probabilities), ACCURACY).alias(f"q{i.ordinal}")
             for i in infos

@@ -42,8 +42,6 @@ from tabscope.sources.files import dataset_size, detect_file_type, load_dataset,
 
 TOP_K = 5
 SCAN_COLUMNS = 100
-# Text files above this size are written once as a columnar copy for the passes.
-STAGE_BYTES = 256 * 1024 * 1024
 SUMMARY = ["min", "max", "mean", "std"]
 COLUMN_FIELDS = (
     "ordinal int, name string, dtype string, kind string, missing_count bigint, missing_pct double,"
@@ -263,7 +261,6 @@ def profile_dataset(spark: SparkSession, path: str, file_type: str | None = None
         raise FileNotFoundError(f"Dataset not found: {full}")
     kind = file_type or detect_file_type(full)
     size = dataset_size(spark, full).first()["file_size_bytes"]
-    options.setdefault("stage", kind == "csv" and size > STAGE_BYTES)
     return profile_frame(load_dataset(spark, full, kind), path=full, file_type=kind, size_bytes=size, **options)
 
 

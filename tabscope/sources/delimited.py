@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ NA_TOKENS = [
 # The spellings that pandas.read_csv reads as booleans.
 BOOL_TOKENS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
+COLUMNS_PER_SCAN = 100
+
 DELIMITERS = [",", "|", ";", "\t"]
 
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
@@ -28,20 +32,58 @@ def _as_double(value: Column) -> Column:
     return F.when(value.rlike(INFINITE), infinite).otherwise(F.trim(value).try_cast("double"))
 
 
-def read_profile_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+def _outside_quotes(line: Column) -> Column:
+    return F.regexp_replace(line, '"[^"]*"', "")
+
+
+def has_line_breaks(spark: SparkSession, path: str, sep: str, bad_rows: str = "raise") -> bool:
+    """Whether quoted values of the files hold line breaks; one pass over their lines.
+
+    A line with an odd number of quotes opens or ends such a value. The same pass counts
+    lines with more fields than the header, which raise a ``ValueError`` unless
+    ``bad_rows`` is ``cut``.
+    """
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"No header in CSV file: {path}")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    fields = F.size(F.split(_outside_quotes(F.col("value")), f"[{sep}]"))
+    width = fields_of(first[0], sep)
+    seen = lines.agg(
+        F.count_if(quotes % 2 == 1).alias("odd"), F.count_if(fields > width).alias("wide")
+    ).first()
+    if seen["odd"]:
+        return True
+    if seen["wide"] and bad_rows == "raise":
+        raise ValueError(f"{seen['wide']} rows of {path} have more fields than the header")
+    return False
+
+
+def fields_of(line: str, sep: str) -> int:
+    return re.sub('"[^"]*"', "", line).count(sep) + 1
+
+
+def read_profile_csv(
+    spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None, bad_rows: str = "raise"
+) -> DataFrame:
     """Header CSV with NA tokens nulled *before* the types are inferred.
 
     Spark's reader takes a single null token, so the file is scanned as text
-    columns, and one aggregate over all columns finds which are boolean, integer
+    columns, and aggregates over the columns find which are boolean, integer
     or floating. Dates stay text here; date coercion is a later operator.
-    ``multiline`` allows line breaks inside quotes but makes files unsplittable.
+    ``multiline`` allows line breaks inside quotes but makes files unsplittable; by
+    default the data decide. Part files with another header raise an error.
     """
+    if multiline is None:
+        multiline = has_line_breaks(spark, path, sep, bad_rows)
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -50,17 +92,24 @@ def read_profile_csv(spark: SparkSession, path: str, sep: str = ",", multiline:
     return _cast_inferred(text)
 
 
+def _tests(i: int, value: Column) -> list[Column]:
+    whole = value.rlike(INTEGER)
+    return [
+        F.count(value).alias(f"n{i}"),
+        F.count_if(value.isin(BOOL_TOKENS)).alias(f"b{i}"),
+        F.count_if(whole).alias(f"w{i}"),
+        F.count_if(whole & F.trim(value).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+        F.count_if(whole & F.trim(value).try_cast("decimal(38,0)").isNotNull()).alias(f"k{i}"),
+        F.count_if(value.rlike(DECIMAL) | value.rlike(INFINITE)).alias(f"d{i}"),
+    ]
+
+
 def _cast_inferred(text: DataFrame) -> DataFrame:
-    checks = []
-    for i, name in enumerate(text.columns):
-        value = col(name)
-        checks += [
-            F.count(value).alias(f"n{i}"),
-            F.count_if(value.isin(BOOL_TOKENS)).alias(f"b{i}"),
-            F.count_if(value.rlike(INTEGER) & F.trim(value).try_cast("bigint").isNotNull()).alias(f"i{i}"),
-            F.count_if(value.rlike(DECIMAL) | value.rlike(INFINITE)).alias(f"d{i}"),
-        ]
-    found = text.agg(*checks).first()
+    found: dict[str, int] = {}
+    places = list(enumerate(text.columns))
+    for start in range(0, len(places), COLUMNS_PER_SCAN):
+        checks = [c for i, name in places[start : start + COLUMNS_PER_SCAN] for c in _tests(i, col(name))]
+        found |= text.agg(*checks).first().asDict()
     typed = []
     for i, name in enumerate(text.columns):
         n, value = found[f"n{i}"], col(name)
@@ -70,6 +119,8 @@ def _cast_inferred(text: DataFrame) -> DataFrame:
             typed.append((F.lower(value) == "true").alias(name))
         elif found[f"i{i}"] == n:
             typed.append(F.trim(value).cast("bigint").alias(name))
+        elif found[f"w{i}"] == n:  # whole numbers keep all their digits: exact decimals, else text
+            typed.append((F.trim(value).cast("decimal(38,0)") if found[f"k{i}"] == n else value).alias(name))
         elif found[f"d{i}"] == n:
             typed.append(_as_double(value).alias(name))
         else:
@@ -78,21 +129,29 @@ def _cast_inferred(text: DataFrame) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that occurs most often in the header line."""
+    """The delimiter that occurs most often in the header line, outside quotes."""
     header = spark.read.text(path).first()
-    line = header[0] if header else ""
+    line = re.sub('"[^"]*"', "", header[0]) if header else ""
     return max(DELIMITERS, key=line.count) if any(d in line for d in DELIMITERS) else ","
 
 
-def read_sql_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Header CSV for a SQL view: sniffed delimiter, inferred types, only empty is null."""
-    return (
+def read_sql_csv(
+    spark: SparkSession, path: str, sep: str | None = None, schema: str | None = None, bad_rows: str = "raise"
+) -> DataFrame:
+    """Header CSV for a SQL view: sniffed delimiter, inferred types, only empty is null.
+
+    A given ``schema`` spares the pass that infers one. Whole numbers beyond 64 bits are
+    decimals where Spark infers decimals for them, else text.
+    """
+    sep = sep or sniff_delimiter(spark, path)
+    reader = (
         spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("sep", sep or sniff_delimiter(spark, path))
+        .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "")
         .option("nanValue", "nan")
-        .csv(path)
+        .option("multiLine", has_line_breaks(spark, path, sep, bad_rows))
+        .option("enforceSchema", False)
     )
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)

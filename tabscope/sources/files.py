@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.session import small_frame
 from tabscope.sources.delimited import read_profile_csv
 
 # File extension -> dataset format.
@@ -35,21 +36,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
-def load_dataset(spark: SparkSession, path: str, file_type: str | None = None) -> DataFrame:
-    """Scan a CSV or Parquet dataset. Workbooks have no Spark source."""
+def load_dataset(spark: SparkSession, path: str, file_type: str | None = None, bad_rows: str = "raise") -> DataFrame:
+    """Scan a CSV or Parquet dataset. Workbooks have no Spark source.
+
+    ``bad_rows`` says what CSV rows with surplus fields do: ``raise``, or ``cut``.
+    """
     kind = file_type or detect_file_type(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
-        return read_profile_csv(spark, path)
+        return read_profile_csv(spark, path, bad_rows=bad_rows)
     raise ValueError(f"Cannot load file type: {kind}")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root`` as ``path, rel_path, length, modification_time``.
 
-    The content column is not selected, so no file body is read.
+    The content column is not selected, so no file body is read. A root that does not
+    exist has no files.
     """
+    if not path_exists(spark, root):
+        empty = "path string, rel_path string, length bigint, modification_time timestamp"
+        return small_frame(spark, [], empty).select("path", "length", "modification_time", "rel_path")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

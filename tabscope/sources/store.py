@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.sources.files import resolve_path
+from tabscope.session import small_frame
+from tabscope.sources.files import path_exists, resolve_path
 
 
 def dataset_key(path: str):
@@ -24,11 +25,15 @@ def save_profile(profile: DataFrame, root: str) -> None:
     )
 
 
-def load_profile(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """The saved profile of a dataset (no rows if there is none); reads one partition."""
+def load_profile(spark: SparkSession, path: str, root: str) -> DataFrame | None:
+    """The saved profile of a dataset (no rows if it has none, None without a store); reads one partition."""
+    if not path_exists(spark, root):
+        return None
     return spark.read.parquet(root).where(F.col("dataset_key") == dataset_key(path)).drop("dataset_key")
 
 
 def list_profiled(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of every profiled dataset."""
+    if not path_exists(spark, root):
+        return small_frame(spark, [], "path string")
     return spark.read.parquet(root).select("path").distinct()
