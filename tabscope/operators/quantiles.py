@@ -1,10 +1,6 @@
 """Exact quartiles without gathering a column in one task.
 
-Small input: the value histogram is sorted per column, and running counts place
-the wanted ranks. That sorts the distinct values of a column in one task, so it is
-used only up to ``DIRECT_ROWS`` rows.
-
-Beyond that, ranks are found by repeated narrowing, as in a distributed
+Ranks are found by repeated narrowing, as in a distributed
 quickselect. Pivots around each wanted rank come from about ``PIVOT_ROWS`` random
 rows; exact counts of *all* rows against the pivots then say between which two the
 rank lies, and the next round looks only there. The random rows merely steer the
@@ -18,18 +14,15 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabscope.operators.classes import NUMERIC, ColumnInfo, batches, column_infos
-from tabscope.operators.histogram import by_family, typed_histogram
 from tabscope.session import small_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
-DIRECT_ROWS = 1_000_000
 LEAF_ROWS = 1_000_000
 PIVOT_ROWS = 1_000_000
 ACCURACY = 10_000
@@ -65,7 +58,6 @@ class Interval:
 def exact_quantiles(
     df: DataFrame,
     probabilities: tuple[float, ...] = QUARTILES,
-    direct_rows: int = DIRECT_ROWS,
     leaf_rows: int = LEAF_ROWS,
     pivot_rows: int = PIVOT_ROWS,
     infos: list[ColumnInfo] | None = None,
@@ -76,8 +68,6 @@ def exact_quantiles(
     if not infos:
         return small_frame(df.sparkSession, [], RESULT_SCHEMA)
     counts = non_missing or _non_missing(df, infos)
-    if max(counts.values()) <= direct_rows:
-        return direct_quantiles(df, infos, counts, probabilities)
     found = {}
     for batch in batches(infos, COLUMNS_PER_BATCH):
         found.update(_select(df, batch, counts, probabilities, leaf_rows, pivot_rows))
@@ -88,49 +78,6 @@ def exact_quantiles(
     )
 
 
-def direct_quantiles(
-    df: DataFrame, infos: list[ColumnInfo], counts: dict[int, int], probabilities: tuple[float, ...]
-) -> DataFrame:
-    """Quantiles from value histograms, for row counts known to be small."""
-    parts = [
-        histogram_quantiles(typed_histogram(df, family), counts, probabilities).select("ordinal", "quantiles")
-        for family in by_family(infos).values()
-    ]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def histogram_quantiles(hist: DataFrame, counts: dict[int, int], probabilities: tuple[float, ...]) -> DataFrame:
-    """``ordinal, unique_count, quantiles`` of a small histogram; ``counts`` are the non-missing rows.
-
-    The distinct values of a column are sorted in one task (the sort spills), and
-    running counts place each value, so that a wanted rank falls on one value.
-    """
-    # Values are distinct, so a frame of rows is also a frame of values.
-    running = W.partitionBy("ordinal").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows_of = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-    placed = hist.select("ordinal", "cnt", F.col("value").cast("double").alias("value")).select(
-        "ordinal",
-        "value",
-        "cnt",
-        F.sum("cnt").over(running).alias("last"),
-        F.try_element_at(rows_of, F.col("ordinal")).alias("n"),
-    )
-    first = F.col("last") - F.col("cnt")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("last")), F.col("value")))
-
-    quantiles = []
-    for p in probabilities:
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = at(F.floor(position)), at(F.ceil(position))
-        share = F.max(position - F.floor(position))
-        quantiles.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share))
-    return placed.groupBy("ordinal").agg(
-        F.count("*").alias("unique_count"), F.array(*quantiles).alias("quantiles")
-    )
-
-
 def _non_missing(df: DataFrame, infos: list[ColumnInfo]) -> dict[int, int]:
     row = df.agg(*[F.count(i.value).alias(f"n{i.ordinal}") for i in infos]).first()
     return {i.ordinal: row[f"n{i.ordinal}"] for i in infos}

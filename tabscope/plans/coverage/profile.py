@@ -135,7 +135,7 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("profile_numeric_narrowing", _numeric_sql("orders"))
 def profile_numeric_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quartile search for large input, forced by low limits."""
-    return _rounded(numeric_stats(table(spark, sf_dir, "orders"), direct_rows=0, leaf_rows=2000, pivot_rows=5000))
+    return _rounded(numeric_stats(table(spark, sf_dir, "orders"), leaf_rows=2000, pivot_rows=5000))
 
 
 @register("profile_quantiles_approx")

@@ -30,11 +30,8 @@ from tabscope.operators.duplicates import duplicate_count
 from tabscope.operators.histogram import by_family, text_histogram, typed_histogram
 from tabscope.operators.privacy import sample_rows
 from tabscope.operators.quantiles import (
-    DIRECT_ROWS,
-    QUARTILES,
     approximate_quantiles,
     exact_quantiles,
-    histogram_quantiles,
 )
 from tabscope.operators.roles import ROLES, column_warnings, duplicate_warning, role_arrays, with_roles
 from tabscope.session import scratch_path, small_frame
@@ -90,13 +87,10 @@ def _scan_batch(df: DataFrame, infos: list[ColumnInfo]) -> Row:
     return df.agg(*exprs).select(*shown).first()
 
 
-def _typed_statistics(df: DataFrame, members: list[ColumnInfo], counts: dict[int, int] | None) -> list[Row]:
-    """``ordinal, unique_count, quantiles``; quartiles only with the counts of small input."""
+def _typed_statistics(df: DataFrame, members: list[ColumnInfo]) -> list[Row]:
+    """``ordinal, unique_count`` of the columns of one key type."""
     hist = typed_histogram(df, members)
-    if counts and any(i.kind == NUMERIC for i in members):
-        return histogram_quantiles(hist, counts, QUARTILES).collect()
-    counts = hist.groupBy("ordinal").agg(F.count("*").alias("unique_count"))
-    return counts.withColumn("quantiles", F.lit(None).cast("array<double>")).collect()
+    return hist.groupBy("ordinal").agg(F.count("*").alias("unique_count")).collect()
 
 
 def text_statistics(df: DataFrame, members: list[ColumnInfo]) -> DataFrame:
@@ -118,23 +112,23 @@ def text_statistics(df: DataFrame, members: list[ColumnInfo]) -> DataFrame:
 
 
 def _value_statistics(
-    df: DataFrame, infos: list[ColumnInfo], counts: dict[int, int] | None
+    df: DataFrame, infos: list[ColumnInfo], numeric: list[ColumnInfo], non_missing: dict[int, int]
 ) -> tuple[dict, dict, dict]:
-    """Distinct counts, quartiles (with the counts of small input) and top values from value histograms."""
+    """Distinct counts and top values from value histograms, and quartiles of ``numeric``."""
     distinct: dict[int, int] = {}
     quartiles: dict[int, list[float]] = {}
     tops: dict[int, list[tuple[str, int]]] = {}
     families = by_family(infos)
     text = families.pop("string", [])
-    decimals = [i for i in text if i.kind == NUMERIC] if counts else []
     # The families are independent queries over different columns.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        typed = [pool.submit(_typed_statistics, df, members, counts) for members in families.values()]
+        typed = [pool.submit(_typed_statistics, df, members) for members in families.values()]
         texts = pool.submit(lambda: text_statistics(df, text).collect()) if text else None
-        exact = pool.submit(lambda: exact_quantiles(df, infos=decimals, non_missing=counts).collect()) if decimals else None
+        exact = (
+            pool.submit(lambda: exact_quantiles(df, infos=numeric, non_missing=non_missing).collect()) if numeric else None
+        )
         for r in [r for job in typed for r in job.result()]:
             distinct[r["ordinal"]] = r["unique_count"]
-            quartiles[r["ordinal"]] = r["quantiles"]
         if texts:
             rows = texts.result()
             distinct.update({r["ordinal"]: r["cnt"] for r in rows if r["rank"] == 0})
@@ -146,7 +140,7 @@ def _value_statistics(
 
 
 def profile_columns(
-    df: DataFrame, direct_rows: int = DIRECT_ROWS, with_quartiles: bool = True, approximate: bool = False
+    df: DataFrame, with_quartiles: bool = True, approximate: bool = False
 ) -> tuple[DataFrame, int]:
     """The statistics table (one row per column) and the row count.
 
@@ -157,18 +151,15 @@ def profile_columns(
     infos = column_infos(df)
     scan = _scan_statistics(df, infos)
     rows = scan["rows"]
-    small = rows <= direct_rows
     exact = [i for i in infos if i.kind == OTHER] if approximate else infos
     non_missing = {i.ordinal: rows - scan[f"missing{i.ordinal}"] for i in infos}
-    distinct, quartiles, tops = _value_statistics(df, exact, non_missing if small and with_quartiles else None)
+    numeric = [i for i in infos if i.kind == NUMERIC] if with_quartiles and not approximate else []
+    distinct, quartiles, tops = _value_statistics(df, exact, numeric, non_missing)
     if approximate:
         estimated = [i for i in infos if i.kind != OTHER]
         counts = approx_distinct_stats(df, infos=estimated).collect() if estimated else []
         distinct.update({r["ordinal"]: r["unique_count"] for r in counts})
         quartiles = {r["ordinal"]: r["quantiles"] for r in approximate_quantiles(df).collect()}
-    elif with_quartiles and not small:
-        found = exact_quantiles(df, infos=infos, non_missing=non_missing, direct_rows=direct_rows)
-        quartiles = {r["ordinal"]: r["quantiles"] for r in found.collect()}
     records = []
     for i in infos:
         numeric, temporal = i.kind == NUMERIC, i.kind == TEMPORAL
@@ -193,7 +184,6 @@ def profile_frame(
     include_sample: bool = False,
     max_sample_rows: int = 5,
     redact_pii: bool = True,
-    direct_rows: int = DIRECT_ROWS,
     stage: bool = False,
     approximate: bool = False,
 ) -> DataFrame:
@@ -208,7 +198,7 @@ def profile_frame(
     rows_read = _staged(typed) if stage else typed
     # The passes do not depend on each other; threads let their small stages overlap.
     with ThreadPoolExecutor(max_workers=4) as pool:
-        columns_job = pool.submit(profile_columns, rows_read, direct_rows, approximate=approximate)
+        columns_job = pool.submit(profile_columns, rows_read, approximate=approximate)
         duplicates_job = pool.submit(lambda: duplicate_count(rows_read).first()["duplicate_count"])
         sample_job = pool.submit(_sample, typed, max_sample_rows, redact_pii) if include_sample else None
         columns, rows = columns_job.result()

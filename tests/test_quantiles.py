@@ -17,12 +17,12 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("limits", [(0, 50, 400), (0, 1000, 10**6), (10**6, 10**6, 10**6)])
+@pytest.mark.parametrize("limits", [(50, 400), (1000, 10**6), (10**6, 10**6)])
 def test_exact(spark, limits):
-    direct, leaf, pivots = limits
+    leaf, pivots = limits
     rows = list(zip(*[v.tolist() for v in SHAPES.values()]))
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in SHAPES)).repartition(4)
-    got = exact_quantiles(df, (0.25, 0.5, 0.75, 0.99), direct_rows=direct, leaf_rows=leaf, pivot_rows=pivots)
+    got = exact_quantiles(df, (0.25, 0.5, 0.75, 0.99), leaf_rows=leaf, pivot_rows=pivots)
     for row, values in zip(sorted(got.collect()), SHAPES.values()):
         assert row["quantiles"] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75, 0.99]), rel=1e-12)
 
@@ -30,8 +30,8 @@ def test_exact(spark, limits):
 def test_missing_and_integers(spark):
     rows = [(None if i % 3 == 0 else i, float("nan") if i % 2 else float(i), None) for i in range(1000)]
     df = spark.createDataFrame(rows, "a bigint, b double, c int")
-    for direct in (0, 10**6):
-        got = {r["ordinal"]: r["quantiles"] for r in exact_quantiles(df, direct_rows=direct, leaf_rows=100, pivot_rows=50).collect()}
+    for leaf in (100, 10**6):
+        got = {r["ordinal"]: r["quantiles"] for r in exact_quantiles(df, leaf_rows=leaf, pivot_rows=50).collect()}
         assert got[0] == pytest.approx(np.quantile([i for i in range(1000) if i % 3], [0.25, 0.5, 0.75]))
         assert got[1] == pytest.approx(np.quantile(range(0, 1000, 2), [0.25, 0.5, 0.75]))
         assert got.get(2) is None
@@ -44,5 +44,5 @@ def test_approximate(spark):
 
 def test_few_pivots_still_end(spark):
     df = spark.range(3000).selectExpr("cast(id * id as double) v")
-    got = exact_quantiles(df, direct_rows=0, leaf_rows=10, pivot_rows=3).first()["quantiles"]
+    got = exact_quantiles(df, leaf_rows=10, pivot_rows=3).first()["quantiles"]
     assert got == pytest.approx(np.quantile(np.arange(3000.0) ** 2, [0.25, 0.5, 0.75]))

@@ -7,6 +7,7 @@ import pytest
 from tabscope import profile_frame, scratch_path
 from tabscope.operators.logs import artifacts_of_type, events_by_type, last_sql_result, repeated_failures, tool_summary
 from tabscope.sources.delimited import read_profile_csv, read_sql_csv, sniff_delimiter
+from tabscope.sources.files import list_files
 from tabscope.sources.logs import messages, read_artifacts, read_assumptions, read_events, read_sessions, tool_results
 from tabscope.sources.notebooks import read_notebooks
 from tabscope.sources.store import list_profiled, load_profile, save_profile
@@ -29,10 +30,36 @@ def test_profile_csv_types(spark, tmp_path):
     ]
 
 
-def test_integers_beyond_long_stay_exact_text_or_double(spark, tmp_path):
+def test_integers_beyond_long_keep_their_digits(spark, tmp_path):
     file = tmp_path / "big.csv"
-    file.write_text("n\n1\n99999999999999999999\n", encoding="utf-8")
-    assert read_profile_csv(spark, str(file)).dtypes == [("n", "double")]
+    file.write_text("n,m\n1,1\n99999999999999999999," + "9" * 40 + "\n", encoding="utf-8")
+    assert read_profile_csv(spark, str(file)).dtypes == [("n", "decimal(38,0)"), ("m", "string")]
+
+
+@pytest.mark.parametrize("read", [read_profile_csv, read_sql_csv])
+def test_csv_that_would_be_read_wrongly(spark, tmp_path, read):
+    file = tmp_path / "f.csv"
+    file.write_text('id,t\n1,"two\nlines"\n2,x\n', encoding="utf-8")
+    assert [tuple(r) for r in read(spark, str(file)).collect()] == [(1, "two\nlines"), (2, "x")]
+    wide, empty, parts = tmp_path / "w.csv", tmp_path / "e.csv", tmp_path / "p.csv"
+    wide.write_text("a,b\n3,4,5\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="more fields"):
+        read(spark, str(wide))
+    assert [tuple(r) for r in read(spark, str(wide), bad_rows="cut").collect()] == [(3, 4)]
+    empty.write_text("", encoding="utf-8")
+    with pytest.raises(ValueError, match="No header"):
+        read(spark, str(empty))
+    parts.mkdir()
+    (parts / "1.csv").write_text("a,b\n1,2\n", encoding="utf-8")
+    (parts / "2.csv").write_text("b,a\n1,2\n", encoding="utf-8")
+    with pytest.raises(Exception):
+        read(spark, str(parts)).collect()
+
+
+def test_missing_root_and_store(spark, tmp_path):
+    assert list_files(spark, str(tmp_path / "none")).count() == 0
+    assert load_profile(spark, "x.csv", str(tmp_path / "none")) is None
+    assert list_profiled(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_multiline_csv(spark, tmp_path):
