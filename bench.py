@@ -42,6 +42,10 @@ HEADLINE = [
     "notebook_cells",
     "catalog_summary",
     "log_last_sql",
+    "dataset_trend",
+    "profile_quantiles_approx",
+    "sql_join_range",
+    "scan_csv_sql",
 ]
 
 
