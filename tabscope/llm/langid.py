@@ -7,7 +7,7 @@ add up; the language with the greatest sum wins, and the score is its share afte
 soft maximum over the sums divided by the square root of the number of words.
 
 The model is learned from labelled texts: word counts by language from a hash sample of
-a documented size, the most frequent entries of it, and n-gram counts from those words.
+a documented size, the most frequent entries of them, and n-gram counts from those words.
 Its size is bounded by those parameters, whatever the corpus.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; so is
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tabscope.llm.common import map_columns, text_of
+from tabscope.llm.common import map_columns, saved, text_of
 
 #: Labelled texts of the fit at most (on average over the hash), and entries of the model.
 SAMPLE_TEXTS, ENTRIES = 20_000, 100_000
@@ -35,7 +35,7 @@ LONGEST = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
 MARKS = ".,;:!?\"'()[]{}<>*_-|#%&$+=/\\0123456789"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 @dataclass
@@ -44,19 +44,20 @@ class Model:
     words: dict[str, np.ndarray]  # log frequency by language
     grams: dict[str, np.ndarray]
 
+    def __post_init__(self):
+        self.gram_rows = {g: i for i, g in enumerate(self.grams)}
+        self.gram_scores = np.array(list(self.grams.values())).reshape(-1, len(self.languages))
+
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the places of a word of its longest known n-gram's log frequencies."""
-        marked, total, places = f"^{word}$", np.zeros(len(self.languages)), 0
-        at = 0
-        while at < len(marked) - 1:
-            for n in range(min(LONGEST, len(marked) - at), 0, -1):
-                found = self.grams.get(marked[at : at + n])
-                if found is not None:
-                    total += found
-                    places += 1
+        marked, rows, found = f"^{word}$", self.gram_rows, []
+        for at in range(len(marked) - 1):
+            for n in range(LONGEST, 0, -1):
+                row = rows.get(marked[at : at + n])
+                if row is not None:
+                    found.append(row)
                     break
-            at += 1
-        return total / places if places else total
+        return self.gram_scores[found].sum(axis=0) / len(found) if found else np.zeros(len(self.languages))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS, entries: int = ENTRIES) -> Model:
@@ -67,7 +68,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SA
     part = F.pmod(F.xxhash64(F.lit("fit"), F.col(text)), F.lit(1_000_000)) < int(share * 1_000_000)
     word = F.explode(F.split(F.lower(text_of(text)), r"[^\p{L}\p{M}]+"))
     counted = labelled.where(part).select(F.col(lang).alias("lang"), word.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word", "lang").limit(entries).collect()  # bounded by entries
+    rows = _most_frequent(saved(counted, "words"), entries)
     languages = sorted({r["lang"] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
     words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
@@ -83,6 +84,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SA
     return Model(languages, _logs(words), _logs(grams))
 
 
+def _most_frequent(counted: DataFrame, entries: int) -> list:
+    """The entries above the least frequency at which no more than ``entries`` are left.
+
+    The frequency comes from the number of entries of each frequency; no task sorts or
+    sends more than its part of the chosen entries. If the greatest frequency alone is
+    shared by more, that many of them are taken in the order of words.
+    """
+    left, least = entries, None
+    for r in counted.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")).collect():
+        if r["many"] > left:
+            break
+        left, least = left - r["many"], r["n"]
+    if least is None:
+        return counted.orderBy(F.desc("n"), "word", "lang").limit(entries).collect()
+    return counted.where(F.col("n") >= least).collect()
+
+
 def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Smoothed log frequencies; each language counts as large as the others."""
     if not counts:
@@ -93,29 +111,58 @@ def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: np.log((v * scale + SMOOTHING) / size) for k, v in counts.items()}
 
 
-def identify(text: str, model: Model, known: dict[str, np.ndarray | None]) -> tuple[str, float]:
-    """(language, score). ``known`` remembers the scores of words between texts."""
-    total, n, letters = np.zeros(len(model.languages)), 0, False
-    for raw, count in Counter(text.lower().split()).items():
-        if raw in known:
-            scores = known[raw]
+class Memory:
+    """Scores of words seen, as rows of one matrix; row 0 is for words without a letter."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, {}
+        self.scores = np.zeros((1024, len(model.languages)))
+
+    def place(self, raw: str) -> int:
+        bare = raw.strip(MARKS)
+        scores = self.model.words.get(bare)
+        if scores is None and not any(map(str.isalpha, bare)):
+            at = 0
         else:
-            bare = raw.strip(MARKS)
-            scores = model.words.get(bare)
-            if scores is None:
-                scores = model.unseen(bare) if any(map(str.isalpha, bare)) else None
-            known[raw] = scores
-        if scores is not None:
-            letters = True
-            total += count * scores
-            n += count
-    if not letters or not model.languages:
+            at = len(self.rows) + 1
+            if at >= len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at] = self.model.unseen(bare) if scores is None else scores
+        self.rows[raw] = at
+        return at
+
+    def places(self, words) -> np.ndarray:
+        rows = self.rows
+        if len(rows) > REMEMBERED:
+            rows.clear()
+        return np.array([rows[w] if w in rows else self.place(w) for w in words], np.int64)
+
+
+def identify(text: str, model: Model, memory: Memory | None = None) -> tuple[str, float]:
+    """(language, score). ``memory`` keeps the scores of words between texts."""
+    memory = memory or Memory(model)
+    counts = Counter(text.lower().split())
+    at = memory.places(counts)
+    many = np.fromiter(counts.values(), np.float64, len(counts)) * (at > 0)
+    n = many.sum()
+    if not n or not model.languages:
         return UNKNOWN, 0.0
+    total = many @ memory.scores[at]
     best = int(total.argmax())
     shares = np.exp((total - total[best]) / math.sqrt(n))
     return model.languages[best], float(1 / shares.sum())
 
 
+_MEMORY: list = [None, None]
+
+
+def memory_of(model: Model) -> Memory:
+    """One memory for each worker process and model; it stays warm between tasks."""
+    if _MEMORY[0] is not model:
+        _MEMORY[:] = [model, Memory(model)]
+    return _MEMORY[1]
+
+
 def identify_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """(``_doc``, lang_pred, score); ``_doc`` holds the columns of ``docs``."""
     wide = docs.select(
@@ -124,13 +171,8 @@ def identify_languages(docs: DataFrame, model: Model, text: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the entries of the fit
 
     def run(batch, state) -> dict:
-        known, model = state
-        found = []
-        for t in batch.column(1).to_pylist():
-            if len(known) > REMEMBERED:
-                known.clear()
-            found.append(identify(t or "", model, known))
+        found = [identify(t or "", state.model, state) for t in batch.column(1).to_pylist()]
         return {"_doc": batch.column(0), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     schema = StructType([wide.schema["_doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return map_columns(wide, run, schema, lambda: ({}, shared.value))
+    return map_columns(wide, run, schema, lambda: memory_of(shared.value))

@@ -205,9 +205,9 @@ def test_language_held_out(spark, sf_dir, docs):
 def test_language_falls_back_to_shorter_grams(spark):
     rows = [("the thing and the other", "en"), ("der stein und die kirche", "de")] * 5
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
-    assert langid.identify("thother", model, {})[0] == "en"
-    assert langid.identify("kirchestein", model, {})[0] == "de"
-    assert langid.identify("12 !!", model, {}) == ("und", 0.0)
+    assert langid.identify("thother", model)[0] == "en"
+    assert langid.identify("kirchestein", model)[0] == "de"
+    assert langid.identify("12 !!", model) == ("und", 0.0)
 
 
 # ---- 6: chat
