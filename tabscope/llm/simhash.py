@@ -285,4 +285,5 @@ def keep_first(docs: DataFrame, settings: Settings = NEAR_COPIES, id_col: str =
     )
     rows = saved(fingerprints(wide, ["_doc", "_id", "_row"], "_text", settings), "simhash")
     first = labelled(rows, ["_id", "_row"], settings).select(F.col("first._row").alias("_row")).distinct()
-    return rows.join(first, "_row", "left_semi").select("_doc.*")
+    # one plan at every size: a broadcast of row numbers would only suit small tables
+    return rows.join(first.hint("merge"), "_row", "left_semi").select("_doc.*")
