@@ -400,6 +400,25 @@ def date_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coerce_dates(df, detect_date_columns(df, order_by=["o_orderkey"]))
 
 
+@register(
+    "date_coerce_forms",
+    """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS half_days, CAST(o_orderdate AS TIMESTAMP) AS with_seconds,
+              CAST(o_orderdate AS TIMESTAMP) AS dotted, CAST(o_orderdate AS TIMESTAMP) AS short_year,
+              CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS months,
+              CAST(o_orderdate AS TIMESTAMP) AS worded, CAST(o_orderdate AS TIMESTAMP) AS weekdays FROM orders""",
+)
+def date_coerce_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in further written forms, read back."""
+    forms = {
+        "half_days": "M/d/yyyy h:mm a", "with_seconds": "yyyy-MM-dd hh:mm:ss a", "dotted": "MM.dd.yyyy",
+        "short_year": "MM/dd/yy", "months": "MMM yyyy", "worded": "d MMMM yyyy HH:mm",
+        "weekdays": "EEE, d MMM yyyy HH:mm:ss",
+    }
+    written = [F.date_format(F.col("o_orderdate").cast("timestamp"), form).alias(name) for name, form in forms.items()]
+    df = table(spark, sf_dir, "orders").select("o_orderkey", *written)
+    return coerce_dates(df, detect_date_columns(df, order_by=["o_orderkey"]))
+
+
 @register(
     "date_coerce_missing",
     """SELECT 'mostly_dates' AS name, COUNT(*) FILTER (WHERE o_orderkey % 10 = 9) AS missing_count,

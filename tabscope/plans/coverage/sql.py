@@ -573,7 +573,9 @@ def sql_ctas_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = scratch_path(spark, "ctas")
     name = "t_" + location.rsplit("-", 1)[1]
     child.sql(f"CREATE TABLE {name} USING parquet LOCATION '{location}' AS SELECT o_orderstatus, o_totalprice FROM orders")
-    return child.sql(
+    totals = child.sql(
         f"""SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
             FROM {name} GROUP BY o_orderstatus"""
     )
+    child.sql(f"DROP TABLE {name}")  # leaves the files, which the plan has resolved already
+    return totals
