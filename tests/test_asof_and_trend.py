@@ -93,3 +93,27 @@ def test_choice_of_columns():
     assert choose_trend_columns({**roles, "revenue_columns": ["r"]}) == ("d", "r")
     assert choose_trend_columns({**roles, "date_columns": []}) is None
     assert choose_trend_columns({**roles, "metric_columns": []}) is None
+
+
+def test_asof_slices_stay_narrow_with_a_stray_time(spark):
+    from tabscope.operators.asof import SLICE_ROWS, _slice_seconds
+
+    times = [(START + datetime.timedelta(seconds=i),) for i in range(1000)]
+    usual = spark.createDataFrame(times, "t timestamp_ntz")
+    stray = spark.createDataFrame([*times, (datetime.datetime(1970, 1, 1),)], "t timestamp_ntz")
+    even, odd = _slice_seconds(usual, usual, "t"), _slice_seconds(stray, usual, "t")
+    assert abs(even - SLICE_ROWS / 2) < 0.05 * SLICE_ROWS
+    assert abs(odd - even) < 0.05 * even
+
+
+def test_asof_with_a_stray_time_and_repeated_right_rows(spark):
+    late = START + datetime.timedelta(seconds=50)
+    left = spark.createDataFrame([("a", late, 1), ("a", START, 2), (None, late, 3), ("a", None, 4)], "k string, t timestamp_ntz, l int")
+    rights = [("a", START, 7), ("a", START, 9), ("a", START, 9), ("a", datetime.datetime(1970, 1, 1), 1), (None, START, 5)]
+    right = spark.createDataFrame(rights, "k string, t timestamp_ntz, r int")
+    for slice_seconds in (None, 10):
+        got = asof_join(left, right, "k", "t", ["r"], slice_seconds=slice_seconds).collect()
+        assert {r["l"]: r["asof_r"] for r in got} == {1: 9, 2: 9, 3: None, 4: None}
+        assert len(got) == 4
+    strict = asof_join(left, right, "k", "t", ["r"], strict=True).collect()
+    assert {r["l"]: r["asof_r"] for r in strict} == {1: 9, 2: 1, 3: None, 4: None}
