@@ -13,6 +13,11 @@ A tile returns the links that connect its rows, at most one for each row, never
 pairs; ``components`` joins them. Tiles with many rows are split into blocks that
 visit each other, so a task holds a bounded part of a tile.
 
+Near copies are decided by the shingles themselves: the fingerprints, with a radius that
+hardly misses a pair, only find groups within which texts may be alike. The shingle sets
+of those groups are compared in cells of bounded size, and links below the least
+similarity are dropped before the components that count are formed.
+
 Defined cases: a null or empty text has no shingle and the fingerprint zero, which
 links like any other; texts shorter than a shingle are one shingle; repeated rows are
 copies of each other; a component whose ids are all null has the id null; an empty
@@ -50,6 +55,7 @@ class Settings:
 
     ``repeats``: a shingle counts as often as it comes. ``ratio``: least ratio of the
     numbers of shingles of two linked texts (0: any), by which tiles are dealt then.
+    ``least``: least Jaccard similarity of the shingle sets of linked texts (0: any).
     """
 
     words: int = 3
@@ -57,13 +63,17 @@ class Settings:
     radius: int = 2
     repeats: bool = True
     ratio: float = 0.0
+    least: float = 0.0
 
 
 #: Five words and a Jaccard similarity of 0.8 or more: the expected share of differing
 #: bits is acos(2 J / (1 + J)) / pi = 0.151 at J = 0.8, so 39 of 256 bits with a standard
-#: deviation of 5.7. The radius keeps 90 % of pairs at J = 0.8, over 99 % from 0.85 on,
-#: and one in 2,000 pairs at J = 0.5.
-NEAR_COPIES = Settings(words=5, bits=256, radius=46, repeats=False, ratio=0.75)
+#: deviation of 5.7. The radius misses one in 60,000 pairs of 4 and 5 shingles (0.188, the
+#: worst case) and under one in 10 million of longer ones; what it lets in besides is
+#: dropped by the shingles.
+NEAR_COPIES = Settings(words=5, bits=256, radius=75, repeats=False, ratio=0.75, least=0.8)
+#: Rows and shingles of a block whose shingle sets are compared in one task.
+CLOSE_ROWS, CLOSE_SHINGLES = 2_048, 524_288
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -111,7 +121,11 @@ def _class(fp: bytes, n: int, settings: Settings) -> int:
 
 
 def fingerprints(docs: DataFrame, carried: list[str], text: str, settings: Settings) -> DataFrame:
-    """``carried`` columns, ``fp`` binary, ``n`` (shingles) and ``class`` of every row."""
+    """``carried`` columns, ``fp`` binary, ``n`` (shingles) and ``class`` of every row.
+
+    Where shingle sets decide, a digest of the set follows the bits in ``fp``, so rows
+    of one ``fp`` have equal sets.
+    """
     fields = [docs.schema[c] for c in carried]
     own = [StructField("fp", BinaryType()), StructField("n", LongType()), StructField("class", LongType())]
 
@@ -123,7 +137,8 @@ def fingerprints(docs: DataFrame, carried: list[str], text: str, settings: Setti
             if not settings.repeats:
                 h = np.unique(h)
             fp = fingerprint(h, settings.bits)
-            fps.append(fp), ns.append(len(h)), classes.append(_class(fp, len(h), settings))
+            classes.append(_class(fp, len(h), settings))
+            fps.append(fp + xxhash.xxh128_digest(h.tobytes()) if settings.least else fp), ns.append(len(h))
         return {c: batch.column(names.index(c)) for c in carried} | {"fp": fps, "n": ns, "class": classes}
 
     columns = list(dict.fromkeys([*carried, text]))
@@ -231,7 +246,7 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
 
     def run(cell: pa.Table) -> pa.Table:
         values = cell.column("fp").to_pylist()
-        matrix = np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1).astype(np.uint64)
+        matrix = np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1)[:, : settings.bits // 64].astype(np.uint64)
         found = tile_links(matrix, cell.column("n").to_numpy(), cell.column("home").to_numpy(), settings)
         ends = [[values[r[k]] for r in found] for k in (0, 1)]
         return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
@@ -239,10 +254,97 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
     return sent.groupBy("cell").applyInArrow(run, "a binary, b binary")
 
 
-def labelled(rows: DataFrame, order: list[str], settings: Settings) -> DataFrame:
+def set_links(sets: list[np.ndarray], groups: list, home: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (row, root) that connect rows of one group with sets of a similarity of at least ``least``.
+
+    Rows at home are compared with each other, or with the other rows if there are any.
+    Pairs that are already connected are passed over.
+    """
+    order = np.array(sorted(range(len(sets)), key=lambda r: (groups[r], not home[r])))
+    n = np.array([len(sets[r]) for r in order])
+    ids = np.unique(np.concatenate([sets[r] for r in order]), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    starts = ends - n
+    home = home[order]
+    flags = np.zeros(len(ids), bool)
+    labels = np.arange(len(order))
+    edges = [k for k in range(len(order)) if not k or groups[order[k]] != groups[order[k - 1]]] + [len(order)]
+    for first, last in itertools.pairwise(edges):
+        owners = first + int(home[first:last].sum())
+        for r in range(first, owners):
+            low = owners if not home.all() else r + 1
+            alike = np.minimum(n[r], n[low:last]) >= least * np.maximum(n[r], n[low:last]) - 1e-9
+            others = low + np.flatnonzero(alike & (labels[low:last] != labels[r]))
+            if not len(others):
+                continue
+            a, b = others[0], others[-1] + 1
+            own = ids[starts[r] : ends[r]]
+            flags[own] = True
+            common = np.add.reduceat(flags[ids[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], dtype=np.int64)[others - a]
+            flags[own] = False
+            near = others[common >= least * (n[r] + n[others] - common) - 1e-9]
+            if len(near):
+                labels = _merge(labels, np.full(len(near), r), near)
+    linked = np.flatnonzero(labels != np.arange(len(labels)))
+    return list(zip(order[linked].tolist(), order[labels[linked]].tolist()))
+
+
+def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links of similar shingle sets within the groups (node, root) of ``found``.
+
+    ``texts`` has (_row, _text). Small groups share cells; the rows of a large group are
+    dealt to blocks, and each pair of its blocks is a cell.
+    """
+    members = saved(
+        found.join(nodes.hint("merge"), found.node == nodes.fp).select("node", "root", F.col("first._row").alias("_row"), "n"),
+        "members",
+    )
+    blocks = F.ceil(F.greatest(F.count("*") / CLOSE_ROWS, F.sum("n") / CLOSE_SHINGLES))
+    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), blocks.alias("blocks"))
+    total = sizes.where("blocks = 1").agg(F.sum("rows"), F.sum("shingles")).first()
+    buckets = max(1, math.ceil(max((total[0] or 0) / CLOSE_ROWS, (total[1] or 0) / CLOSE_SHINGLES)))
+    # at most one group for each CLOSE_ROWS rows or CLOSE_SHINGLES shingles
+    large = F.broadcast(sizes.where("blocks > 1").select("root", "blocks"))
+    placed = (
+        members.join(large, "root", "left")
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        .select(
+            "node",
+            "root",
+            "_row",
+            F.when(F.col("blocks").isNull(), F.lit(b"")).otherwise(F.col("root")).alias("cell"),
+            F.coalesce(F.least("block", "other"), F.pmod(F.xxhash64("root"), F.lit(buckets))).alias("i"),
+            F.greatest(F.lit(-1).cast("long"), F.when(F.col("blocks").isNotNull(), F.greatest("block", "other"))).alias("j"),
+            (F.col("blocks").isNull() | (F.col("block") <= F.col("other"))).alias("home"),
+        )
+    )
+
+    def sets(batch: pa.RecordBatch, _) -> dict:
+        found = [np.unique(shingle_hashes(t or b"", settings.words)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        return {"_row": batch.column(0), "shingles": found}
+
+    wanted = members.select("_row").hint("merge")
+    hashed = map_columns(texts.join(wanted, "_row", "left_semi").select("_row", "_text"), sets, "_row long, shingles binary", rows=256)
+    sent = placed.join(hashed.hint("merge"), "_row").select("cell", "i", "j", "home", "node", "root", "shingles")
+
+    def run(cell: pa.Table) -> pa.Table:
+        nodes = cell.column("node").to_pylist()
+        found = set_links(
+            [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()],
+            cell.column("root").to_pylist(), cell.column("home").to_numpy(), settings.least,
+        )
+        ends = [[nodes[r[k]] for r in found] for k in (0, 1)]
+        return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
+
+    return sent.groupBy("cell", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def labelled(rows: DataFrame, order: list[str], settings: Settings, texts: DataFrame | None = None) -> DataFrame:
     """(fp, first): for each fingerprint the least ``order`` of its component, nulls last.
 
-    ``rows`` is a written table with fp, n, class and the columns of ``order``.
+    ``rows`` is a written table with fp, n, class and the columns of ``order``; ``texts``
+    (_row, _text) is read where shingle sets decide.
     """
     first = F.struct(*[F.coalesce(F.col(c), F.lit(2**63 - 1)).alias(c) for c in order])
     nodes = saved(
@@ -250,6 +352,8 @@ def labelled(rows: DataFrame, order: list[str], settings: Settings) -> DataFrame
         "fingerprints",
     )
     found = saved(components(links(nodes, settings)), "components")
+    if settings.least:
+        found = saved(components(similar(found, nodes, texts, settings)), "components")
     least = (
         found.join(nodes, found.node == nodes.fp).groupBy("root").agg(F.min("first").alias("least"))
     )
@@ -284,6 +388,7 @@ def keep_first(docs: DataFrame, settings: Settings = NEAR_COPIES, id_col: str =
         F.monotonically_increasing_id().alias("_row"),
     )
     rows = saved(fingerprints(wide, ["_doc", "_id", "_row"], "_text", settings), "simhash")
-    first = labelled(rows, ["_id", "_row"], settings).select(F.col("first._row").alias("_row")).distinct()
+    texts = rows.select("_row", F.col("_doc").getField(text).cast("string").alias("_text"))
+    first = labelled(rows, ["_id", "_row"], settings, texts).select(F.col("first._row").alias("_row")).distinct()
     # one plan at every size: a broadcast of row numbers would only suit small tables
     return rows.join(first.hint("merge"), "_row", "left_semi").select("_doc.*")

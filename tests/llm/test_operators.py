@@ -318,6 +318,24 @@ def test_keep_first_keeps_one_of_near_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 10, 20, 30, 40, 50]
 
 
+@pytest.mark.parametrize("block", [1, 2_048])
+def test_keep_first_decides_by_shared_shingles(spark, monkeypatch, block):
+    """Texts of 180 shingles: 160 of 200 (0.8) are shared by near copies, 158 of 202 (0.782) are not enough."""
+    monkeypatch.setattr(simhash, "CLOSE_ROWS", block)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 184)]
+        for k, shared in enumerate((180, 160 if i % 2 else 158)):
+            rows.append((2 * i + k, " ".join(w[: shared + 4] + [f"v{x}" for x in rng.integers(0, 10**9, 180 - shared)])))
+    # a short text: 4 of 5 shingles, and a chain of texts that share 0.9 with the next
+    rows += [(200, "a b c d e f g h"), (201, "a b c d e f g h i"), (202, "a b c d e f g h i j k")]
+    w = [f"c{x}" for x in range(300)]
+    rows += [(300 + k, " ".join(w[10 * k : 10 * k + 194])) for k in range(5)]
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * i for i in range(60)} | {2 * i + 1 for i in range(0, 60, 2)} | {200, 202, 300}
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
