@@ -23,7 +23,6 @@ passed through.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tabscope.llm.common import map_columns, texts
+from tabscope.llm.simhash import set_links, shingle_hashes
 
 #: Examples of each label (the bound of the fit), terms, and neighbours.
 EXAMPLES, TERMS, NEIGHBOURS = 2_000, 512, 15
@@ -45,6 +45,8 @@ LEAST_CHI, LEAST_EXAMPLES, LEAST_SHARE = 25.0, 4, 0.005
 CONSTANT, PRIOR, SHARPNESS = 1.0, 0.05, 8
 #: Lengths of word beginnings that count as terms.
 STEMS = (4, 5)
+#: Words of a shingle, and the least similarity of the shingle sets of near copies.
+COPY_WORDS, COPY_LEAST = 5, 0.8
 MARKS = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -82,6 +84,16 @@ def select_terms(examples: list[tuple[set[str], int]], most: int = TERMS) -> lis
     return [t for _, t in sorted(scored)[:most]]
 
 
+def distinct_examples(examples: list[tuple[str, int]]) -> list[int]:
+    """Places of the examples without near copies: one of each group of alike texts of one label."""
+    sets = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), COPY_WORDS)) for t, _ in examples]
+    if not sets:
+        return []
+    sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]  # texts without a word are alike
+    copies = {row for row, _ in set_links(sets, [y for _, y in examples], np.ones(len(sets), bool), COPY_LEAST)}
+    return [k for k in range(len(examples)) if k not in copies]
+
+
 @dataclass
 class Index:
     """Entries (distinct example vectors) in blocks, with the greatest weight per term and block."""
@@ -154,13 +166,13 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text: str
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text="text", label="toxic", each: int = EXAMPLES) -> Index:
     """The index of the examples; shares of the labels and term counts cover all rows."""
     shares = labels.where(F.col(label).isNotNull()).agg(F.count("*").alias("n"), F.count_if(F.col(label) > 0).alias("pos")).first()
-    rows = sorted(
-        (r["_id"], r["y"], terms_of(r["text"] or ""))
+    found = sorted(
+        (r["_id"], r["y"], r["text"] or "")
         for r in labelled_examples(docs, labels, id_col, text, label, each).collect()  # bounded by 2 * each
     ) if shares["n"] else []
-    # near copies share their least word hash; only one of them speaks for a term
-    apart = {min((zlib.crc32(t.encode()) for t in c), default=id_): (set(c), y) for id_, y, c in rows}
-    chosen = select_terms(list(apart.values()))
+    rows = [(id_, y, terms_of(t)) for id_, y, t in found]
+    # only one of several near copies with one label speaks for a term
+    chosen = select_terms([(set(rows[k][2]), rows[k][1]) for k in distinct_examples([(t, y) for _, y, t in found])])
     terms = {t: i + 1 for i, t in enumerate(chosen)}
     n, counts = document_counts(docs, text, terms)
     idf = np.concatenate([[CONSTANT], np.log((n + 1) / (counts + 1)) + 1])

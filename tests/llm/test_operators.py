@@ -187,6 +187,29 @@ def test_toxicity_held_out(spark, sf_dir):
     assert sum(r.predicted for r in rows) <= 0.05 * len(rows)
 
 
+def test_toxicity_recall_where_all_texts_share_a_word(spark):
+    rng = np.random.default_rng(7)
+    shared = min((f"s{i}" for i in range(20_000)), key=lambda w: zlib.crc32(w.encode()))
+
+    def text(toxic):
+        words = [f"w{x}" for x in rng.integers(0, 400, 30)]
+        return " ".join([shared, *words, *(["loser"] if toxic else [])])
+
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs, docs.where("doc_id < 300").select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(docs, index).where("_doc.doc_id >= 300").select("_doc.toxic", "predicted").collect()
+    assert sum(r.toxic for r in got) == 25
+    assert all(r.predicted == r.toxic for r in got)
+
+
+def test_only_near_copies_of_one_label_are_one_example():
+    rng = np.random.default_rng(8)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(2))
+    given = [(a, 1), (a + " end", 1), (a, 0), (b, 1), ("", 0), (" ", 0), (a[: len(a) // 2], 1)]
+    assert toxicity.distinct_examples(given) == [0, 2, 3, 4, 6]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     v = np.abs(rng.normal(size=(200, 12))) * (rng.random((200, 12)) < 0.4) + 1e-3
