@@ -10,8 +10,8 @@ number of shingles instead, whose ratio bounds the similarity of two sets.
 
 Equal fingerprints are one row before any comparison, so a group of copies costs one.
 A tile returns the links that connect its rows, at most one for each row, never all
-pairs; ``components`` joins them. Tiles with many rows are split into blocks that
-visit each other, so a task holds a bounded part of a tile.
+pairs; ``components`` joins them. Tiles with many rows are split into blocks; a task
+holds one block and as many of those it meets as are together no larger than a block.
 
 Near copies are decided by the shingles themselves: the fingerprints, with a radius that
 hardly misses a pair, only find groups within which texts may be alike. The shingle sets
@@ -161,22 +161,32 @@ def _near_classes(a: int, present: set[int], settings: Settings) -> list[int]:
     return sorted(b for b in found if b > a and b in present)
 
 
-def routes(counts: dict[int, int], settings: Settings) -> list[tuple[int, int, int, bool]]:
-    """(class, block, cell, home): where the rows of a block are compared.
+def routes(counts: dict[int, int], settings: Settings) -> list[tuple[int, int, int, bool, bool]]:
+    """(class, block, cell, home, within): where the rows of a block are compared.
 
-    Every block is at home in one cell and visits the cells of later blocks of its
-    class and of all blocks of later classes near by. The table is bounded by the
-    number of classes, which the bit counts or the scale of sizes bound.
+    Every block is at home in cells of its own, and blocks of earlier classes near by and
+    earlier blocks of its class visit these: a cell takes visitors of at most TILE_ROWS
+    rows in all, or one. In its first cell a block is compared with itself as well.
     """
     blocks = {c: max(1, math.ceil(n / TILE_ROWS)) for c, n in counts.items()}
-    first = dict(zip(sorted(blocks), itertools.accumulate([0, *(blocks[c] for c in sorted(blocks))])))
-    out = []
+    visitors: dict[int, list[int]] = {c: [] for c in blocks}
     for a in sorted(blocks):
-        near = [first[b] + j for b in _near_classes(a, blocks.keys(), settings) for j in range(blocks[b])]
-        for i in range(blocks[a]):
-            out.append((a, i, first[a] + i, True))
-            out += [(a, i, cell, False) for cell in near]
-            out += [(a, i, first[a] + j, False) for j in range(i + 1, blocks[a])]
+        for b in _near_classes(a, blocks.keys(), settings):
+            visitors[b].append(a)
+    out, cell = [], 0
+    for b in sorted(blocks):
+        far = [(a, i) for a in visitors[b] for i in range(blocks[a])]
+        for j in range(blocks[b]):
+            out.append((b, j, cell, True, True))
+            held = 0.0
+            for a, i in [*far, *((b, i) for i in range(j))]:
+                rows = counts[a] / blocks[a]
+                if held and held + rows > TILE_ROWS:
+                    cell, held = cell + 1, 0.0
+                    out.append((b, j, cell, True, False))
+                out.append((a, i, cell, False, False))
+                held += rows
+            cell += 1
     return out
 
 
@@ -197,8 +207,13 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             labels = next_
 
 
-def tile_links(fps: np.ndarray, n: np.ndarray, home: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
-    """Links (row, root) that connect the rows of a cell; at least one row of a pair is at home."""
+def tile_links(
+    fps: np.ndarray, n: np.ndarray, home: np.ndarray, settings: Settings, within: bool = True
+) -> list[tuple[int, int]]:
+    """Links (row, root) that connect the rows of a cell.
+
+    At least one row of a pair is at home; with ``within`` false, exactly one.
+    """
     total = np.bitwise_count(fps).sum(axis=1).astype(np.int64)
     order = np.lexsort((total, ~home))  # home rows first, each part by bit count
     fps, n, total, owners = fps[order], n[order], total[order], int(home.sum())
@@ -209,6 +224,8 @@ def tile_links(fps: np.ndarray, n: np.ndarray, home: np.ndarray, settings: Setti
         if s >= owners:
             break
         for s2, e2 in zip(starts[a:], ends[a:]):
+            if s2 < owners and not within:
+                continue
             if total[s2] - total[e - 1] > settings.radius or total[s] - total[e2 - 1] > settings.radius:
                 continue  # the bit counts differ beyond the radius
             apart = np.zeros((e - s, e2 - s2), np.uint16)
@@ -233,7 +250,7 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
     counts = {r["class"]: r["count"] for r in nodes.groupBy("class").count().collect()}
     blocks = {c: max(1, math.ceil(k / TILE_ROWS)) for c, k in counts.items()}
     most = max(blocks.values(), default=1)
-    table = small_frame(spark, routes(counts, settings), "class long, block long, cell long, home boolean")
+    table = small_frame(spark, routes(counts, settings), "class long, block long, cell long, home boolean, within boolean")
     # the block is a hash modulo the blocks of the class, which the table knows
     sizes = small_frame(spark, [(c, b) for c, b in blocks.items() if b > 1], "class long, blocks long")
     if most > 1:
@@ -242,12 +259,13 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
         )
     else:
         placed = nodes.withColumn("block", F.lit(0).cast("long"))
-    sent = placed.join(table, ["class", "block"]).select("cell", "home", "fp", "n")
+    sent = placed.join(table, ["class", "block"]).select("cell", "home", "within", "fp", "n")
 
     def run(cell: pa.Table) -> pa.Table:
         values = cell.column("fp").to_pylist()
         matrix = np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1)[:, : settings.bits // 64].astype(np.uint64)
-        found = tile_links(matrix, cell.column("n").to_numpy(), cell.column("home").to_numpy(), settings)
+        within = any(cell.column("within").to_pylist())
+        found = tile_links(matrix, cell.column("n").to_numpy(), cell.column("home").to_numpy(), settings, within)
         ends = [[values[r[k]] for r in found] for k in (0, 1)]
         return pa.table({"a": pa.array(ends[0], pa.binary()), "b": pa.array(ends[1], pa.binary())})
 

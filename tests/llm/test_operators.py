@@ -326,6 +326,24 @@ def test_tiles_lose_no_link(spark, monkeypatch, tile):
     assert {n: got.get(n, n) for n in order} == want
 
 
+def test_cells_hold_at_most_two_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_ROWS", 100)
+    counts = {3: 950, 4: 1_000, 5: 30, 7: 10}
+    blocks = {c: -(-n // 100) for c, n in counts.items()}
+    cells = defaultdict(list)
+    for c, block, cell, home, first in simhash.routes(counts, simhash.NEAR_COPIES):
+        cells[cell].append((c, block, home, first))
+    met = Counter()
+    for rows in cells.values():
+        assert sum(counts[c] / blocks[c] for c, *_ in rows) <= 200
+        (own,) = [r for r in rows if r[2]]
+        met.update(frozenset([own[:2], r[:2]]) for r in rows if not r[2])
+        met.update([frozenset([own[:2]])] if own[3] else [])
+    every = [(c, i) for c in blocks for i in range(blocks[c])]
+    want = {frozenset([a, b]) for a in every for b in every if abs(a[0] - b[0]) <= 1}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_keep_first_keeps_one_of_near_copies(spark):
     rng = np.random.default_rng(5)
     texts = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(6)]
