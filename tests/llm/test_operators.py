@@ -269,6 +269,13 @@ def test_license_hits():
     assert licenses.hits("the license of the work is under discussion in this version of the general public", ready) == []
 
 
+@pytest.mark.parametrize("name", ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0-header", "Unlicense"])
+def test_common_notices_are_found_once(name):
+    ready = [licenses.Template(n, licenses.words(t)) for n, t in licenses.TEMPLATES.items()]
+    notice = licenses.TEMPLATES[name].replace("software", "program").replace("this file", "that file")
+    assert [h[2] for h in licenses.hits(f"some prose before {notice} and after", ready)] == [name]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=12))
 def test_alignment_is_increasing(a, b):
