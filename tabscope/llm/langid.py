@@ -46,7 +46,9 @@ class Model:
 
     def __post_init__(self):
         self.gram_rows = {g: i for i, g in enumerate(self.grams)}
-        self.gram_scores = np.array(list(self.grams.values())).reshape(-1, len(self.languages))
+        self.gram_scores = np.zeros((len(self.grams), len(self.languages)))
+        for row, scores in enumerate(self.grams.values()):
+            self.gram_scores[row] = scores
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the places of a word of its longest known n-gram's log frequencies."""

@@ -404,10 +404,16 @@ def find_pii(docs: DataFrame, text: str = "text", table=None, redacted: bool = T
 
 def redact_rows(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``length`` counts its characters anew."""
-    out = find_pii(docs, text).select("_doc.*", "redacted")
-    changed = out.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col("redacted"))).drop("redacted")
-    if length in docs.columns:
-        changed = changed.withColumn(
-            length, F.when(F.col(text).isNotNull(), F.char_length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType)
-        )
-    return changed
+    found = find_pii(docs, text)
+    old, new = F.col(f"_doc.`{text}`"), F.col("redacted")
+
+    def column(name: str):
+        # a column of the caller may have any name, so its values stay in the struct
+        value = F.col(f"_doc.`{name}`")
+        if name == text:
+            value = F.when(old.isNotNull(), new)
+        elif name == length:
+            value = F.when(old.isNotNull(), F.char_length(new)).otherwise(value).cast(docs.schema[name].dataType)
+        return value.alias(name)
+
+    return found.select(*[column(c) for c in docs.columns])

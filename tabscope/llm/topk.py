@@ -38,9 +38,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     scaled = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x * scale)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), scaled.alias("v"))
-    # x - pmod(x, 1) is the floor as a double; floor() itself would end at 64 bits
+    # floor() ends at 64 bits; doubles from 2^53 on are whole already
+    whole = lambda x: F.when(F.abs(x) < EXACT_FLOAT, F.floor(x).cast("double")).otherwise(x)
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite).select(
-        "vec_id", F.transform("v", lambda x: x - F.pmod(x, F.lit(1.0))).alias("v")
+        "vec_id", F.transform("v", whole).alias("v")
     )
 
 
@@ -144,16 +145,23 @@ def top_k(
     candidates = dealt.withColumn("_down", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(
         cell(deal(across), F.col("_down")), "vec_id", "v"
     )
+    # other names than the candidates': Spark prunes a column that both sides share
+    # as soon as the caller reads less than every column
     queries = (
         dealt.where(is_query)
         .withColumn("_across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-        .select(cell(F.col("_across").cast("long"), deal(down)), "query_row", "vec_id", "v")
+        .select(
+            cell(F.col("_across").cast("long"), deal(down)).alias("query_cell"),
+            "query_row",
+            F.col("vec_id").alias("query_id"),
+            F.col("v").alias("query_v"),
+        )
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return search_cell(left, right, k)
+        return search_cell(left, right.rename_columns(["cell", "query_row", "vec_id", "v"]), k)
 
-    found = candidates.groupBy("cell").cogroup(queries.groupBy("cell")).applyInArrow(run, CELL_SCHEMA)
+    found = candidates.groupBy("cell").cogroup(queries.groupBy("query_cell")).applyInArrow(run, CELL_SCHEMA)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best).cast("int"))
