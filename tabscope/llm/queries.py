@@ -167,3 +167,26 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("_doc.doc_id", "n_hits", "licenses", "best_coverage", "hits")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with the contract's damage, dealt by crc32 of ``conv_id:turn``; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    deal = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    role, text = space("role"), space("text")
+    return (
+        conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), deal.alias("_deal"))
+        .where("_deal <> 0")
+        .withColumn("text", F.when(F.col("_deal") == 1, "").when(F.col("_deal") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+        .withColumn("role", F.when(F.col("_deal") == 4, "user").otherwise(F.col("role")))
+        .withColumn("_copy", F.explode(F.when(F.col("_deal") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .drop("_deal", "_copy")
+    )
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.repair import digests, repair
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(repair(damaged(turns)), turns)
