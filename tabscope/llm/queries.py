@@ -220,3 +220,13 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
     return mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op11_bpe")
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabscope.llm.bpe import decode, digests, encode
+
+    path = public_tokens().path
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = digests(decode(encode(docs, path), path))
+    return found.select("_doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
