@@ -2,16 +2,17 @@
 
 Spark splits texts into words, the longest pieces that a byte-level BPE surely keeps
 apart: a word ends where a space or line break follows a character that is neither white
-space nor a control. The distinct words of all texts are encoded once each, by the public
-tokenizer itself, and make the table (word, frequency, ids). Texts are then encoded by
-joining ids back to the words by position.
+space nor a control. Words are counted; those that come more than once are encoded once
+each, by the public tokenizer itself, and make the table (word, n, ids). Texts are then
+encoded by joining ids back to the words by position. A word that comes once in the whole
+corpus has one position only and is encoded there.
 
 The join has two parts. The most frequent words, as many as fit in a documented number
-of bytes, are broadcast and joined inside the map over the texts. Occurrences of all
-other words leave holes, which an ordinary join fills: hole and word meet by the word's
-digest, and the holes of a text go back to it by its row number. Words of more than
-total / BYTES occurrences are always among the broadcast ones, so no key of that join is
-hot, however long its word is.
+of bytes, are broadcast in a compact form and joined inside the map over the texts. If
+that is not the whole table, occurrences of all other words leave holes, which an
+ordinary join by word fills; the holes of a text go back to it by its row number. A word
+that is not broadcast has at most total / BYTES of the occurrences, so a key of that join
+holds at most the word's length / BYTES of the text.
 
 Decoding joins ids with the table of pieces by id. That table has the size of the
 vocabulary; pieces are gathered by position and the bytes of a text read as UTF-8, with
@@ -26,26 +27,27 @@ are rows of their own; an empty table gives no rows; further columns come back i
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from xxhash import xxh64_intdigest
 
 from tabscope.llm.common import map_columns, saved, text_of
 
 #: Bytes of the words and ids that are broadcast at most, and of one entry besides them.
-BYTES, ENTRY_BYTES = 24_000_000, 32
+BYTES, ENTRY_BYTES = 128_000_000, 24
 #: Steps of frequency for each doubling; words of one step are broadcast together or not at all.
 STEPS = 8
 #: No token of a byte-level BPE goes on where a space or line break follows such a character.
 WORD_END = r"(?<=[^\p{Z}\p{C}])(?=[ \n])"
-#: Ids that are decoded at once.
-DECODED = 1_000_000
+#: Words whose ids are gathered at once, and ids that are decoded at once.
+GATHERED, DECODED = 500_000, 1_000_000
 
 
 def split_words(text: Column) -> Column:
@@ -69,15 +71,20 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def encode_all(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word as little-endian uint32 numbers."""
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
+
+
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word, n, ids): every distinct word, its occurrences and its ids as little-endian uint32."""
-    counted = docs.select(F.explode(split_words(text_of(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, ids): every distinct word that comes more than once, its occurrences and its ids."""
+    words = docs.select(F.explode(split_words(text_of(f"`{text}`"))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
-    def run(batch, state) -> dict:
-        ids = [np.array(e.ids, "<u4").tobytes() for e in state.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
-        return {"word": batch.column(0), "n": batch.column(1), "ids": ids}
+    def run(batch, _) -> dict:
+        return {"word": batch.column(0), "n": batch.column(1), "ids": encode_all(path, batch.column(0).to_pylist())}
 
-    return map_columns(counted, run, "word string, n long, ids binary", lambda: tokenizer(path), rows=4096)
+    return map_columns(counted, run, "word string, n long, ids binary", rows=4096)
 
 
 def _step() -> Column:
@@ -97,19 +104,51 @@ def least_step(words: DataFrame, limit: int = BYTES) -> int | None:
     return None
 
 
-class Known:
-    """Broadcast words: the row of each, and all ids in one array."""
+def packed(table: pa.Table) -> bytes:
+    """(word, ids) as an Arrow stream of words in the order of their hashes."""
+    table = table.combine_chunks()
+    hashes = np.array([xxh64_intdigest(w) for w in table.column("word").to_pylist()], np.uint64)
+    order = pa.array(np.argsort(hashes, kind="stable"))
+    words, ids = (table.column(c).combine_chunks().take(order) for c in ("word", "ids"))
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    numbers = np.frombuffer(ids.buffers()[2] or b"", "<u4")[: offsets[-1] // 4]
+    small = numbers.astype(np.uint16) if numbers.max(initial=0) < 2**16 else numbers
+    lists = pa.ListArray.from_arrays(pa.array(offsets // 4, pa.int32()), pa.array(small))
+    columns = pa.table({"hash": hashes[order.to_numpy()], "word": words, "ids": lists})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns.schema) as writer:
+        writer.write_table(columns)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, table: pa.Table):
-        self.rows = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        ids = table.column("ids").to_pylist()
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
-        self.sizes = np.array([len(x) // 4 for x in ids] + [0], np.int64)  # the last is for unknown words
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes[:-1])])
 
-    def place(self, words: list[str]) -> np.ndarray:
-        none = len(self.rows)
-        return np.fromiter((self.rows.get(w, none) for w in words), np.int64, len(words))
+class Known:
+    """Broadcast words, found by hash and compared in full."""
+
+    def __init__(self, stream: bytes):
+        with pa.ipc.open_stream(stream) as reader:
+            table = reader.read_all().combine_chunks()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+        self.hashes, self.words = columns[0].to_numpy(), columns[1]
+        self.ids = columns[2].values.to_numpy()
+        offsets = columns[2].offsets.to_numpy().astype(np.int64) if len(self.hashes) else np.zeros(1, np.int64)
+        self.starts, self.sizes = offsets[:-1], np.diff(offsets)
+        # of words with one hash a search finds the first; the others are looked up by name
+        equal = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
+        self.others = {self.words[int(i)].as_py(): int(i) for i in equal}
+
+    def place(self, words: pa.StringArray) -> np.ndarray:
+        """The row of each word, -1 where it is not here."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        names = words.to_pylist()
+        hashes = np.array([xxh64_intdigest(w) for w in names], np.uint64)
+        rows = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(rows)), words).to_numpy(zero_copy_only=False)
+        rows = np.where(same, rows, -1)
+        if self.others:
+            for i in np.flatnonzero(rows < 0):
+                rows[i] = self.others.get(names[i], -1)
+        return rows
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -118,26 +157,44 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
 
 
-def word_digest(word: str) -> bytes:
-    return hashlib.sha256(word.encode()).digest()
-
+def encode_words(words: pa.ListArray, known: Known, path: str, complete: bool) -> tuple[list[bytes], list[list[dict]]]:
+    """(ids of each text, [{at: ids before it, word}] of the words that are left out).
 
-def encode_words(words: pa.ListArray, known: Known) -> tuple[list[bytes], list[list[dict]]]:
-    """(ids of the known words, [{at: ids before it, key: digest}] of the others) of each text."""
+    With a ``complete`` table words that it lacks come once in the corpus, so they are
+    encoded here; else they are left out.
+    """
     edges = words.offsets.to_numpy()
     flat = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
     edges = edges - edges[0]
-    distinct = flat.dictionary.to_pylist()
-    rows = known.place(distinct)[flat.indices.to_numpy()]
-    sizes = known.sizes[rows]
-    ids = gather(known.ids, known.starts[rows], sizes).astype("<u4").tobytes()
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    texts = [ids[4 * a : 4 * b] for a, b in zip(ends[edges[:-1]], ends[edges[1:]])]
+    distinct, codes = flat.dictionary, flat.indices.to_numpy()
+    rows = known.place(distinct)
+    here, lacking = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+    # the ids of the distinct words, then their places
+    ids = gather(known.ids, known.starts[rows[here]], known.sizes[rows[here]]).astype(np.uint32)
+    sizes = np.zeros(len(distinct), np.int64)
+    sizes[here] = known.sizes[rows[here]]
+    names = distinct.take(pa.array(lacking)).to_pylist()
+    if complete:
+        own = encode_all(path, names)
+        sizes[lacking] = [len(x) // 4 for x in own]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
+    starts = np.zeros(len(distinct), np.int64)
+    order = np.concatenate([here, lacking])
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    pieces = []
+    for a in range(0, len(codes), GATHERED):
+        c = codes[a : a + GATHERED]
+        pieces.append(gather(ids, starts[c], sizes[c]).astype("<u4").tobytes())
+    ends = 4 * np.concatenate([[0], np.cumsum(sizes[codes])])
+    joined = b"".join(pieces)
+    texts = [joined[a:b] for a, b in zip(ends[edges[:-1]], ends[edges[1:]])]
     holes: list[list[dict]] = [[] for _ in texts]
-    unknown = np.flatnonzero(rows == len(known.rows))
-    for place, text in zip(unknown, np.searchsorted(edges, unknown, side="right") - 1):
-        word = distinct[flat.indices[int(place)].as_py()]
-        holes[text].append({"at": int(ends[place] - ends[edges[text]]), "key": word_digest(word)})
+    if not complete:
+        missing = np.full(len(distinct), -1)
+        missing[lacking] = np.arange(len(lacking))
+        places = np.flatnonzero(missing[codes] >= 0)
+        for place, text in zip(places, np.searchsorted(edges, places, side="right") - 1):
+            holes[text].append({"at": int(ends[place] - ends[edges[text]]) // 4, "word": names[missing[codes[place]]]})
     return texts, holes
 
 
@@ -147,8 +204,7 @@ _KNOWN: list = [None, None]
 def known_words(shared) -> Known:
     """One table for each worker process; it stays while tasks use the same broadcast."""
     if _KNOWN[0] is not shared.value:
-        with pa.ipc.open_stream(shared.value) as reader:
-            _KNOWN[:] = [shared.value, Known(reader.read_all())]
+        _KNOWN[:] = [shared.value, Known(shared.value)]
     return _KNOWN[1]
 
 
@@ -162,40 +218,39 @@ def encode(docs: DataFrame, path: str, text: str = "text", limit: int = BYTES) -
     least = least_step(words, limit)
     frequent = words if least is None else words.where(_step() >= least)
     table = frequent.select("word", "ids").toArrow()  # bounded by ``limit``
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    shared = spark.sparkContext.broadcast(packed(table))
+    complete = least is None
 
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_doc")
     wide = docs.select(own, split_words(text_of(f"`{text}`")).alias("words"))
-    hole = StructType([StructField("at", IntegerType()), StructField("key", BinaryType())])
+    hole = StructType([StructField("at", LongType()), StructField("word", StringType())])
     schema = StructType([wide.schema["_doc"], StructField("ids", BinaryType()), StructField("holes", ArrayType(hole))])
 
     def run(batch, state) -> dict:
-        ids, holes = encode_words(batch.column(1), state)
+        ids, holes = encode_words(batch.column(1), state, path, complete)
         return {"_doc": batch.column(0), "ids": ids, "holes": holes}
 
-    coded = map_columns(wide, run, schema, lambda: known_words(shared), rows=256)
-    if least is None:
-        return coded.drop("holes")
-    return _filled(coded, words.where(_step() < least))
+    coded = map_columns(wide, run, schema, lambda: known_words(shared), rows=512)
+    return coded.drop("holes") if complete else _filled(coded, words.where(_step() < least), path)
 
 
-def _filled(coded: DataFrame, rare: DataFrame) -> DataFrame:
-    """``coded`` with the ids of ``rare`` words in the holes."""
+def _filled(coded: DataFrame, rare: DataFrame, path: str) -> DataFrame:
+    """``coded`` with the ids of ``rare`` words in the holes; what is not among them comes once."""
     coded = saved(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
-    holes = coded.select("row", F.posexplode("holes").alias("nth", "hole")).select("row", "nth", "hole.at", "hole.key")
-    keyed = rare.select(F.unhex(F.sha2("word", 256)).alias("key"), F.col("ids").alias("more"))
-    found = holes.join(keyed, "key").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "at", "more"))).alias("found"))
+    holes = coded.select("row", F.posexplode("holes").alias("nth", "hole")).select("row", "nth", "hole.at", "hole.word")
+    found = holes.join(rare.select("word", F.col("ids").alias("more")), "word", "left")
+    piece = F.struct("nth", "at", "more", F.when(F.col("more").isNull(), F.col("word")).alias("word"))
+    found = found.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("found"))
     open_rows = coded.where(F.size("holes") > 0).join(found, "row").select("_doc", "ids", "found")
     schema = StructType([coded.schema["_doc"], StructField("ids", BinaryType())])
 
     def run(batch, _) -> dict:
         out = []
         for ids, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            once = iter(encode_all(path, [p["word"] for p in pieces if p["more"] is None]))
             edges = [0, *(4 * p["at"] for p in pieces)]
-            parts = [x for a, b, p in zip(edges, edges[1:], pieces) for x in (ids[a:b], p["more"])]
+            more = (p["more"] if p["more"] is not None else next(once) for p in pieces)
+            parts = [x for a, b, m in zip(edges, edges[1:], more) for x in (ids[a:b], m)]
             out.append(b"".join([*parts, ids[edges[-1] :]]))
         return {"_doc": batch.column(0), "ids": out}
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ SIGNS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [0, 4_000, bpe.BYTES])
+@pytest.mark.parametrize("limit", [0, 700, bpe.BYTES])
 def test_any_text_and_any_share_of_broadcast_words(spark, path, limit):
     rng = random.Random(11)
     texts = ["".join(rng.choices(SIGNS, k=rng.randint(0, 30))) for _ in range(1_500)]
-    texts += [None, "", " ", "\n \n", "<|endoftext|>", "x" * 100_000, "word " * 20_000, " lead", "trail "] + ["the same words here"] * 700
+    texts += [None, "", " ", "\n \n", "<|endoftext|>", "x" * 100_000, "word " * 20_000, "one " + "y" * 90_000, "two " + "y" * 90_000, " lead", "trail "] + ["the same words here"] * 700
     rows = [(i, t, i % 3, b"x", "y") for i, t in enumerate(texts)] + [(None, "null id", 1, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, holes binary, word string").repartition(5)
     encoded = bpe.encode(docs, path, limit=limit)
@@ -70,10 +71,23 @@ def test_any_text_and_any_share_of_broadcast_words(spark, path, limit):
         assert r["_doc"].asDict().keys() == {"doc_id", "ids", "holes", "word"}
 
 
-def test_every_distinct_word_is_encoded_once(spark, path):
+def test_words_that_come_twice_are_encoded_once(spark, path):
     docs = spark.createDataFrame([("a b a\nb",), ("a b",), (None,)], "text string")
     words = bpe.word_table(docs, path)
-    assert sorted((r.word, r.n) for r in words.collect()) == [("", 1), ("\nb", 1), (" a", 1), (" b", 2), ("a", 2)]
+    assert sorted((r.word, r.n) for r in words.collect()) == [(" b", 2), ("a", 2)]
+
+
+def test_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(bpe, "xxh64_intdigest", lambda w: len(w))
+    known = bpe.Known(bpe.packed(pa.table({"word": ["ab", "c", "cd", "ef"], "ids": [b"1111", b"2222", b"33334444", b""]})))
+    rows = known.place(pa.array(["cd", "x", "ab", "c", "ef", "gh", "long"]))
+    assert [known.words[int(r)].as_py() if r >= 0 else None for r in rows] == ["cd", None, "ab", "c", "ef", None, None]
+    assert known.sizes[rows[rows >= 0]].tolist() == [2, 1, 1, 0]
+
+
+def test_ids_beyond_two_bytes():
+    known = bpe.Known(bpe.packed(pa.table({"word": ["ab"], "ids": [np.array([7, 100_000], "<u4").tobytes()]})))
+    assert known.ids.tolist() == [7, 100_000]
 
 
 def test_broken_bytes_are_replaced(path):
