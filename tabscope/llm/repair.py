@@ -274,8 +274,8 @@ def repair(turns: DataFrame) -> Repair:
     tops = _tops(laid.mapInArrow(ends, SUMMARY).collect())
 
     def write(batches):
-        for part, conv, pos, found, begins, _ in _runs(batches):
-            first, last = tops.get((part, begins), (0, None))
+        for part, conv, pos, found, begins, finishes in _runs(batches):
+            first, last = tops.get((part, begins), (0, None)) if begins or finishes else (0, None)
             edits, at_end = edits_of(bytes(found), first, last)
             n = len(edits)
             for a in range(0, n, 10_000):

@@ -174,12 +174,13 @@ def test_query_equals_the_contract(spark, sf_dir):
 
 
 ODD_TURNS = (
-    [(1, i, ("user", "assistant", "tool", "system", "")[i * i % 5], f"turn {i % 700}." if i % 11 else "no end") for i in range(3_000)]
+    [(c, t, "user" if t == 0 else "tool", f"{c}.") for c in range(-60, -40) for t in range(3)]
+    + [(1, i, ("user", "assistant", "tool", "system", "")[i * i % 5], f"turn {i % 700}." if i % 11 else "no end") for i in range(3_000)]
     + [(2, 0, "user", "the same."), (2, 0, "user", "the same."), (2, 1, "assistant", "ok!")]
     + [(2, 5, "assistant", "ok!")] * 1_500
     + [(None, None, None, None), (None, 3, "user", None), (None, None, "assistant", "x" * 300_000 + ".")]
     + [(4, 1, "", ""), (5, 0, "User", "upper case."), (5, 1, "assistant", " \t\n"), (6, 7, "system", "only.")]
-    + [(c, t, "user" if t % 2 == 0 else "assistant", "fine.") for c in range(10, 40) for t in range(2)]
+    + [(c, t, "user" if t % 2 == 0 else "assistant", "fine.") for c in range(10, 700) for t in range(3)]
 )
 
 
