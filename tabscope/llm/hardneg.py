@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tabscope.llm.common import saved
 
 #: Rows of a cell's candidate and anchor slice, on average; dimensions read between two looks at the bitmap.
-CANDIDATE_SLICE, ANCHOR_SLICE, BLOCK = 65_536, 4_096, 8
+CANDIDATE_SLICE, ANCHOR_SLICE, BLOCK = 65_536, 4_096, 16
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
@@ -115,8 +115,11 @@ def scan(anchor: np.ndarray, part: Slice, alive: np.ndarray, shrink: Callable) -
     scores = np.zeros(len(at))
     for first in range(0, len(order), BLOCK):
         dims = order[first : first + BLOCK]
-        numbers = part.numbers[dims]
-        scores += anchor[dims] @ (numbers if len(at) == numbers.shape[1] else numbers[:, at])
+        # picking candidates out of a column costs more than a few products too many
+        if 4 * len(at) > len(alive):
+            scores += (anchor[dims] @ part.numbers[dims])[at]
+        else:
+            scores += anchor[dims] @ part.numbers[np.ix_(dims, at)]
         read = min(first + BLOCK, len(order))
         stay = shrink(scores, least[read], most[read])
         if stay is not None and not stay.all():
@@ -170,16 +173,31 @@ def negatives_of(
     anchor: np.ndarray, part: Slice, allowed: np.ndarray, windows: list[tuple[int, int]], k: int, large: bool
 ) -> list[list[tuple[int, int]]]:
     """For each window the k first (score, id) of the allowed rows of ``part`` inside it."""
-    bounds = [(float(a), float(b)) for a, b in windows]
+    bounds = sorted((float(a), float(b)) for a, b in windows)
+    spans: list[list[float]] = []  # windows that overlap, joined
+    for low, high in bounds:
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+    widest = max(high - low for low, high in bounds)
+
+    def near(scores, least, most, low, high):
+        return (scores >= low - most) & (scores <= high - least)
 
     def shrink(scores, least, most):
+        if most - least > widest:  # nothing is surely inside a window yet
+            stay = near(scores, least, most, *spans[0])
+            for span in spans[1:]:
+                stay |= near(scores, least, most, *span)
+            return stay
         stay = np.zeros(len(scores), bool)
         for low, high in bounds:
-            touched = (scores + most >= low) & (scores + least <= high)
-            sure = scores[touched]
-            sure = sure[(sure + least >= low) & (sure + most <= high)]
+            touched = near(scores, least, most, low, high)
+            inside = scores[touched]
+            sure = inside[(inside >= low - least) & (inside <= high - most)]
             if len(sure) > k:
-                touched &= scores + most >= np.partition(sure, len(sure) - k)[len(sure) - k] + least
+                touched &= scores >= np.partition(sure, len(sure) - k)[len(sure) - k] + least - most
             stay |= touched
         return stay
 
