@@ -261,7 +261,9 @@ def repair(turns: DataFrame) -> Repair:
     """The cheapest edits of every conversation of ``turns`` (conv_id, turn, role, text)."""
     rows = in_order(turns)
     codes = saved(coded(rows), "codes")
-    laid = codes.repartition("part").sortWithinPartitions("part", "pos")
+    # a number of tasks of its own: codes are few bytes, but each is a step of the parser
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = codes.repartition(tasks, "part").sortWithinPartitions("part", "pos")
     summary, target = (to_arrow_schema(StructType.fromDDL(s)) for s in (SUMMARY, EDITS))
 
     def ends(batches):
