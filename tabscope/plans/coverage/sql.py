@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.asof import asof_join
+from tabscope.operators.interval import interval_join, overlap_join
 from tabscope.plans.coverage.registry import register, register_sql, table, table_path
 from tabscope.plans.sql import open_workspace
 from tabscope.session import scratch_path
@@ -147,6 +148,55 @@ register_sql(
        FROM lineitem JOIN bands ON l_extendedprice >= low AND l_extendedprice < high
        GROUP BY band""",
 )
+
+
+@register(
+    "sql_join_interval",
+    """SELECT o_orderkey, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty
+       FROM orders JOIN lineitem
+         ON l_extendedprice >= o_totalprice * 0.2
+        AND l_extendedprice < o_totalprice * 0.2 + CASE WHEN o_orderkey % 1000 = 0 THEN 2000 ELSE (o_orderkey % 7) * 0.5 END
+       GROUP BY o_orderkey""",
+)
+def sql_join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "o_totalprice * 0.2 AS low",
+        "o_totalprice * 0.2 + CASE WHEN o_orderkey % 1000 = 0 THEN 2000 ELSE (o_orderkey % 7) * 0.5 END AS high",
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_quantity").cast("decimal(18,2)"))
+    pairs = interval_join(lines, orders, "l_extendedprice", "low", "high")
+    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("qty"))
+
+
+@register(
+    "sql_join_overlap",
+    """SELECT c_custkey, p_partkey FROM customer JOIN part
+         ON c_acctbal <= p_retailprice + p_size * 0.05 AND p_retailprice <= c_acctbal + c_custkey % 5""",
+)
+def sql_join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_acctbal AS c_low", "c_acctbal + c_custkey % 5 AS c_high")
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice AS p_low", "p_retailprice + p_size * 0.05 AS p_high")
+    pairs = overlap_join(customers, parts, ("c_low", "c_high"), ("p_low", "p_high"))
+    return pairs.select("c_custkey", "p_partkey")
+
+
+@register(
+    "sql_join_within",
+    """SELECT c.event_id, c.user_id, c.ts, COUNT(p.event_id) AS purchases
+       FROM (SELECT * FROM events WHERE event_type = 'click') c
+       LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+         ON p.user_id = c.user_id AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR
+       GROUP BY c.event_id, c.user_id, c.ts""",
+)
+def sql_join_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    after = events.where("event_type = 'purchase'").selectExpr("event_id AS purchase_id", "user_id", "ts AS since", "ts + INTERVAL 6 HOUR AS until")
+    pairs = interval_join(clicks, after, "ts", "since", "until", keys=["user_id"], closed="right", how="left")
+    return pairs.groupBy("event_id", "user_id", "ts").agg(F.count("purchase_id").alias("purchases"))
+
+
 register_sql(
     "sql_join_self",
     "events",
