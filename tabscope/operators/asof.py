@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1_000_000
+from tabscope.functions.names import col
+from tabscope.operators.scan import PART_ROWS, running
 
 
 def asof_join(
@@ -17,6 +17,7 @@ def asof_join(
     values: list[str],
     strict: bool = False,
     slice_seconds: float | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """All left rows with ``values`` of the latest right row of the same key.
 
@@ -24,51 +25,25 @@ def asof_join(
     counts. Both sides must share the names of ``key`` and ``time``; no right row
     gives nulls.
 
-    A key may hold a large share of all rows, so no window spans a key. Time is
-    cut into slices: inside a (key, slice) group a window finds the latest right
-    row, and across slices only the last right row of each slice is carried on.
-    By default slices are short enough to hold about ``SLICE_ROWS`` rows of all
-    keys together at the mean density of the middle 98 % of the times, so stray
-    times do not widen them; in a burst a slice holds more.
+    Both sides are one sequence per key in which the last right row is carried on, a
+    segmented scan (``scan.py``): a key of more than ``part_rows`` rows is cut into parts
+    of about that many, wherever its rows lie in time, a burst of one instant included.
+    ``slice_seconds`` is accepted from earlier versions and has no effect.
 
-    Right rows of equal key and time are one row before any window. Left rows
-    without key or time have no match and pass round the windows.
+    Right rows of equal key and time are one row before the scan, the greatest by
+    ``values``. Left rows without key or time have no match and pass round it.
     """
-    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    known = col(key).isNotNull() & col(time).isNotNull()
     matchless = left.where(~known).select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(f"asof_{v}") for v in values])
     left, right = left.where(known), right.where(known)
-    width = (slice_seconds or _slice_seconds(left, right, time)) * 1_000_000
-    micros = min(max(1, int(width)), 2**62)
-    payload = F.struct(F.col(time).alias("_time"), *[F.col(v) for v in values])
+    payload = F.struct(col(time).alias("_time"), *[col(v) for v in values])
     first, second = (0, 1) if strict else (1, 0)
-    part = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(micros))
 
-    lefts = left.withColumn("_slice", part).withColumn("_order", F.lit(first)).withColumn("_row", F.struct(*left.columns))
-    rights = right.groupBy(key, time).agg(F.max(payload).alias("_right"))
-    rights = rights.withColumn("_slice", part).withColumn("_order", F.lit(second))
-    both = lefts.select(key, time, "_slice", "_order", "_row").unionByName(
-        rights.select(key, time, "_slice", "_order", "_right"), allowMissingColumns=True
-    )
-    inside = W.partitionBy(key, "_slice").orderBy(time, "_order", "_right").rowsBetween(W.unboundedPreceding, W.currentRow)
-    matched = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull())
-
-    # One row per (key, slice): bounded by the number of slices, not of rows.
-    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        both.groupBy(key, "_slice")
-        .agg(F.max("_right").alias("_last"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .select(key, "_slice", "_carry")
-    )
-    hit: Column = F.coalesce("_hit", "_carry")
-    joined = matched.join(carried, [key, "_slice"], "left").withColumn("_found", hit)
-    return joined.select("_row.*", *[F.col("_found")[v].alias(f"asof_{v}") for v in values]).unionAll(matchless)
-
-
-def _slice_seconds(left: DataFrame, right: DataFrame, time: str) -> float:
-    """Seconds in which both sides have about ``SLICE_ROWS`` rows; reads the time columns only."""
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
-    both = left.select(seconds.alias("s")).unionAll(right.select(seconds.alias("s")))
-    n, ends = both.agg(F.count("s"), F.percentile_approx("s", [0.01, 0.99])).first()
-    span = (ends[1] - ends[0]) / 0.98 if n else 0.0
-    return max(span * SLICE_ROWS / n, 0.001) if span else 1.0
+    lefts = left.select(col(key).alias("_key"), col(time).alias("_at"), F.lit(first).alias("_order"), F.struct(*map(col, left.columns)).alias("_row"))
+    rights = right.groupBy(col(key).alias("_key"), col(time).alias("_at")).agg(F.max(payload).alias("_right"))
+    both = lefts.unionByName(rights.withColumn("_order", F.lit(second)), allowMissingColumns=True)
+    # the side in the highest bit, then a number per row
+    number = F.col("_order") * F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 2)
+    carried = running(both, ["_key"], ["_at", "_order"], {"_found": ("last", "_right")}, part_rows, number)
+    matched = carried.where(F.col("_row").isNotNull())
+    return matched.select("_row.*", *[F.col("_found")[v].alias(f"asof_{v}") for v in values]).unionAll(matchless)

@@ -34,7 +34,7 @@ from tabscope.session import scratch_path
 ROWS_PER_BIN, MOST_BINS = 65_536, 4_096
 #: Cells of a level for each cell of the level before, and cells that an interval may touch besides the first.
 STEP_BITS, MOST_CELLS = 3, 8
-OWN = ("_bin", "_part", "_level", "_cell", "_share", "_copy", "_low", "_high", "_row", "_at", "_id")
+OWN = ("_bin", "_part", "_level", "_cell", "_share", "_copy", "_low", "_high", "_low_part", "_high_part", "_row", "_at", "_id")
 
 
 def _number(value: Column, kind: DataType) -> Column:
@@ -147,13 +147,12 @@ def interval_join(
     levels = list(range(finest, coarsest - 1, -1))
 
     placed = usable.withColumn("_bin", line.bin(x)).withColumn("_part", line.part(x, F.col("_bin")))
+    # plain columns: Spark computes a column that is used several times once, but not the fields of a struct
     laid = held.withColumn("_low", line.bin(ends_at[0])).withColumn("_high", line.bin(ends_at[1]))
-    parts = line.part(ends_at[0], F.col("_low")), line.part(ends_at[1], F.col("_high"))
-    laid = laid.withColumn("_low", F.struct(F.col("_low").alias("bin"), parts[0].alias("part")))
-    laid = laid.withColumn("_high", F.struct(F.col("_high").alias("bin"), parts[1].alias("part")))
+    laid = laid.withColumn("_low_part", line.part(ends_at[0], F.col("_low"))).withColumn("_high_part", line.part(ends_at[1], F.col("_high")))
 
     def touched(level: int) -> tuple[Column, Column]:
-        return tuple(_cell(F.col(c)["bin"], F.col(c)["part"], level) for c in ("_low", "_high"))
+        return _cell(F.col("_low"), F.col("_low_part"), level), _cell(F.col("_high"), F.col("_high_part"), level)
 
     chosen = F.lit(levels[-1])
     for level in reversed(levels[:-1]):
@@ -163,7 +162,7 @@ def interval_join(
 
     most_rows = 4 * rows_per_bin
     shares = _shares({r["_bin"]: r["n"] for r in placed.groupBy("_bin").agg(F.count("*").alias("n")).collect()}, bins, most_rows)
-    starts = laid.groupBy(F.col("_low")["bin"].alias("_bin"), "_level").agg(F.count("*").alias("n")).collect()
+    starts = laid.groupBy(F.col("_low").alias("_bin"), "_level").agg(F.count("*").alias("n")).collect()
     used = sorted({r["_level"] for r in starts}) or [finest]
     by_bin: dict[int, int] = {}
     for r in starts:

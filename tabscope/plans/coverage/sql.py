@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators.asof import asof_join
 from tabscope.operators.interval import interval_join, overlap_join
+from tabscope.operators.scan import running
 from tabscope.plans.coverage.registry import register, register_sql, table, table_path
 from tabscope.plans.sql import open_workspace
 from tabscope.session import scratch_path
@@ -389,6 +390,26 @@ register_sql(
                                  RANGE BETWEEN INTERVAL 3 MONTH PRECEDING AND CURRENT ROW) AS BIGINT) AS quarter_n
         FROM {MONTHLY}""",
 )
+
+
+@register(
+    "sql_win_running",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag,
+              CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) OVER w AS DOUBLE) AS qty, COUNT(*) OVER w AS n,
+              MAX(l_extendedprice) OVER w AS dearest
+       FROM lineitem
+       WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def sql_win_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals over three keys that hold all rows: parts of them, not whole keys, meet in a task."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("_qty", F.col("l_quantity").cast("decimal(18,2)")).withColumn("_one", F.lit(1))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    values = {"qty": ("sum", "_qty"), "n": ("count", "_one"), "dearest": ("max", "l_extendedprice")}
+    totals = running(lines, ["l_returnflag"], order, values, part_rows=100_000)
+    return totals.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("qty").cast("double").alias("qty"), "n", "dearest")
+
+
 # row_number() = 1 is cut to one row per key and task before the shuffle.
 register_sql(
     "sql_qualify",
