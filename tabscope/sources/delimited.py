@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from tabscope.functions.names import col
+from tabscope.sources.records import fields_in, has_stray_quotes, parse_records, read_records
 
 # The tokens that pandas.read_csv reads as missing by default.
 NA_TOKENS = [
@@ -39,9 +42,9 @@ def _outside_quotes(line: Column) -> Column:
 def has_line_breaks(spark: SparkSession, path: str, sep: str, bad_rows: str = "raise") -> bool:
     """Whether quoted values of the files hold line breaks; one pass over their lines.
 
-    A line with an odd number of quotes opens or ends such a value. The same pass counts
-    lines with more fields than the header, which raise a ``ValueError`` unless
-    ``bad_rows`` is ``cut``.
+    A line with an odd number of quotes opens or ends such a value. Without any, the same
+    pass counts lines with more fields than the header, which raise a ``ValueError``
+    unless ``bad_rows`` is ``cut``; else they are counted by records.
     """
     lines = spark.read.text(path)
     first = lines.first()
@@ -55,11 +58,44 @@ def has_line_breaks(spark: SparkSession, path: str, sep: str, bad_rows: str = "r
     ).first()
     if seen["odd"]:
         return True
-    if seen["wide"] and bad_rows == "raise":
-        raise ValueError(f"{seen['wide']} rows of {path} have more fields than the header")
+    _refuse(seen["wide"], path, bad_rows)
     return False
 
 
+def _refuse(wide: int, path: str, bad_rows: str) -> None:
+    if wide and bad_rows == "raise":
+        raise ValueError(f"{wide} rows of {path} have more fields than the header")
+
+
+def _options(sep: str) -> dict[str, str]:
+    return {"sep": sep, "quote": '"', "escape": '"'}
+
+
+def _text_columns(spark: SparkSession, path: str, sep: str, bad_rows: str) -> DataFrame:
+    """All values as text, of files with line breaks inside quotes; empty ones are null.
+
+    Many tasks read a file, see ``records.py``. Where quotes stand inside unquoted values,
+    one task reads each file.
+    """
+    whole = spark.read.options(**_options(sep)).option("header", True).option("multiLine", True).option("enforceSchema", False)
+    names = whole.csv(path).columns
+    records = read_records(spark, path)
+    heads = records.where("header").select("record").distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError(f"part files of {path} have different headers")
+    seen = records.agg(
+        F.count_if(fields_in(F.col("record"), sep) > len(names)).alias("wide"),
+        F.count_if(has_stray_quotes(F.col("record"), sep)).alias("stray"),
+    ).first()
+    if not seen["stray"]:
+        _refuse(seen["wide"], path, bad_rows)
+        return parse_records(records, names, _options(sep))
+    more = StructType([StructField(f"c{i}", StringType()) for i in range(len(names) + 1)])
+    rows = whole.option("enforceSchema", True).schema(more).csv(path)
+    _refuse(rows.where(F.col(f"c{len(names)}").isNotNull()).count(), path, bad_rows)
+    return rows.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def fields_of(line: str, sep: str) -> int:
     return re.sub('"[^"]*"', "", line).count(sep) + 1
 
@@ -72,12 +108,21 @@ def read_profile_csv(
     Spark's reader takes a single null token, so the file is scanned as text
     columns, and aggregates over the columns find which are boolean, integer
     or floating. Dates stay text here; date coercion is a later operator.
-    ``multiline`` allows line breaks inside quotes but makes files unsplittable; by
-    default the data decide. Part files with another header raise an error.
+    Line breaks inside quotes are found in the data, and such files still split;
+    ``multiline`` says so beforehand and leaves them to Spark's reader, one task a file.
+    Rows with more fields than the header raise a ``ValueError`` unless ``bad_rows`` is
+    ``cut``. Part files with another header raise an error.
     """
-    if multiline is None:
-        multiline = has_line_breaks(spark, path, sep, bad_rows)
-    raw = (
+    if multiline is None and has_line_breaks(spark, path, sep, bad_rows):
+        raw = _text_columns(spark, path, sep, bad_rows)
+    else:
+        raw = _plain_columns(spark, path, sep, bool(multiline))
+    text = raw.select([F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in raw.columns])
+    return _cast_inferred(text)
+
+
+def _plain_columns(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+    return (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
@@ -88,8 +133,6 @@ def read_profile_csv(
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    text = raw.select([F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in raw.columns])
-    return _cast_inferred(text)
 
 
 def _tests(i: int, value: Column) -> list[Column]:
@@ -144,14 +187,46 @@ def read_sql_csv(
     decimals where Spark infers decimals for them, else text.
     """
     sep = sep or sniff_delimiter(spark, path)
+    if has_line_breaks(spark, path, sep, bad_rows):
+        text = _text_columns(spark, path, sep, bad_rows)
+        kinds = [f.dataType.simpleString() for f in StructType.fromDDL(schema)] if schema else _sql_types(text)
+        names = [f.name for f in StructType.fromDDL(schema)] if schema else text.columns
+        return text.select([col(c).try_cast(kind).alias(n) for c, kind, n in zip(text.columns, kinds, names)])
     reader = (
         spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
+        .options(**_options(sep))
         .option("nullValue", "")
         .option("nanValue", "nan")
-        .option("multiLine", has_line_breaks(spark, path, sep, bad_rows))
         .option("enforceSchema", False)
     )
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
+#: The types that Spark infers for CSV columns, in its order, and how their values are written.
+SQL_TYPES = [
+    ("int", r"^[+-]?[0-9]+$"),
+    ("bigint", r"^[+-]?[0-9]+$"),
+    ("decimal(38,0)", r"^[+-]?[0-9]+$"),
+    ("double", r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|nan|[+-]?(Inf|Infinity))$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}.*$"),
+    ("boolean", r"^(?i)(true|false)$"),
+]
+
+
+def _sql_types(text: DataFrame) -> list[str]:
+    """The type of each text column: the first that all its values can be."""
+    found: dict[str, int] = {}
+    places = list(enumerate(text.columns))
+    for start in range(0, len(places), COLUMNS_PER_SCAN):
+        checks = []
+        for i, name in places[start : start + COLUMNS_PER_SCAN]:
+            checks.append(F.count(col(name)).alias(f"n{i}"))
+            for k, (kind, pattern) in enumerate(SQL_TYPES):
+                checks.append(F.count_if(col(name).rlike(pattern) & col(name).try_cast(kind).isNotNull()).alias(f"t{i}_{k}"))
+        found |= text.agg(*checks).first().asDict()
+    kinds = []
+    for i, _ in places:
+        fits = [kind for k, (kind, _) in enumerate(SQL_TYPES) if found[f"n{i}"] and found[f"t{i}_{k}"] == found[f"n{i}"]]
+        kinds.append(fits[0] if fits else "string")
+    return kinds
