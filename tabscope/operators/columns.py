@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -150,8 +152,9 @@ def date_ranges(df: DataFrame) -> DataFrame:
 def top_from_histogram(hist: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent keys per column.
 
-    Ties go by the first 64 characters, then by digest. The literal ``rank <= k``
-    lets Spark keep only k rows per column in each task before the shuffle.
+    Ties go by the first 64 characters, then by digest; ``collect_top_values`` puts values
+    of one head in order. The literal ``rank <= k`` lets Spark keep only k rows per column
+    in each task before the shuffle.
     """
     order = W.partitionBy("ordinal").orderBy(F.desc("cnt"), F.asc("head"), F.asc_nulls_first("digest"))
     return (
@@ -178,18 +181,68 @@ def full_texts(df: DataFrame, wanted: dict[int, list[str]]) -> dict[tuple[int, s
     return {(r["ordinal"], r["digest"]): r["value"] for r in rows}
 
 
+def least_of_ties(df: DataFrame, info: ColumnInfo, head: str, cnt: int, k: int) -> list[str]:
+    """Digests of the ``k`` least values among those that start with ``head`` and come ``cnt`` times.
+
+    Values are told apart by what follows their common prefix, ``HEAD_CHARS`` characters at
+    a time, and only the groups that still hold several of them go into the next round. A
+    round shuffles a digest and those characters for each value; prefixes come back as
+    digests, so no text reaches the driver.
+    """
+    digest = lambda v: F.sha2(v, 256)
+    start = df.select(info.text.alias("v")).where(F.left("v", F.lit(HEAD_CHARS)) == head)
+
+    def settle(rows: DataFrame, least: int) -> list[str]:
+        ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"))
+        letters = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: x.eqNullSafe(y))
+        differ = F.array_position(letters, False) - 1
+        shared, only = ends.select(F.when(F.col("a") != F.col("b"), differ), digest(F.col("a"))).first()
+        if shared is None:
+            return [only]
+        reach = int(shared) + HEAD_CHARS
+        piece = F.substring(F.col("v"), int(shared) + 1, HEAD_CHARS).alias("piece")
+        values = rows.groupBy(digest(F.col("v")).alias("digest"), piece, digest(F.left("v", F.lit(reach))).alias("prefix"))
+        tied = values.agg(F.count("*").alias("cnt")).where(F.col("cnt") == cnt)
+        groups = tied.groupBy("piece", "prefix").agg(F.count("*").alias("n"), F.min("digest").alias("digest"))
+        found: list[str] = []
+        for g in groups.orderBy("piece").limit(least).collect():
+            left = least - len(found)
+            if not left:
+                break
+            more = [g["digest"]]
+            if g["n"] > 1:
+                more = settle(rows.where(digest(F.left("v", F.lit(reach))) == g["prefix"]), min(left, g["n"]))
+            found += more
+        return found
+
+    return settle(start, k)
+
+
 def collect_top_values(df: DataFrame, tops: list) -> dict[int, list[tuple[str, int]]]:
-    """``ordinal -> [(value, count)]`` from the at most k rows per column of a top list."""
-    wanted: dict[int, list[str]] = {}
-    for row in tops:
-        if row["digest"] is not None:
-            wanted.setdefault(row["ordinal"], []).append(row["digest"])
-    texts = full_texts(df, wanted) if wanted else {}
-    result: dict[int, list[tuple[str, int]]] = {}
+    """``ordinal -> [(value, count)]`` from the at most k rows per column of a top list.
+
+    Values go by count, then by value. Among those of one count and one head the list
+    holds some; which ones belong, and their order, is found in the data.
+    """
+    infos = {i.ordinal: i for i in column_infos(df)}
+    columns: dict[int, list] = {}
     for row in sorted(tops, key=lambda r: (r["ordinal"], r["rank"])):
-        value = row["head"] if row["digest"] is None else texts[(row["ordinal"], row["digest"])]
-        result.setdefault(row["ordinal"], []).append((value, row["cnt"]))
-    return result
+        columns.setdefault(row["ordinal"], []).append(row)
+    chosen: dict[int, list[tuple[str, str | None, int]]] = {}
+    for ordinal, rows in columns.items():
+        places = chosen.setdefault(ordinal, [])
+        for (cnt, head), group in groupby(rows, key=lambda r: (r["cnt"], r["head"])):
+            members = list(group)
+            digests = [r["digest"] for r in members]
+            if len(head) == HEAD_CHARS and (len(members) > 1 or members[-1] is rows[-1]):
+                own = hashlib.sha256(head.encode()).hexdigest()
+                settled = least_of_ties(df, infos[ordinal], head, cnt, len(members))
+                digests = [None if d == own else d for d in settled]
+            places += [(head, d, cnt) for d in digests]
+    wanted = {o: [d for _, d, _ in places if d is not None] for o, places in chosen.items()}
+    wanted = {o: digests for o, digests in wanted.items() if digests}
+    texts = full_texts(df, wanted) if wanted else {}
+    return {o: [(head if d is None else texts[o, d], cnt) for head, d, cnt in places] for o, places in chosen.items()}
 
 
 def top_values(df: DataFrame, k: int = 5) -> DataFrame:

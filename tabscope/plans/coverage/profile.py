@@ -166,8 +166,7 @@ def profile_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _top_sql(source: str, column: str) -> str:
     return f"""SELECT * FROM (
-        SELECT '{column}' AS name, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, left(v, 64),
-                 CASE WHEN length(v) > 64 THEN sha256(v) END NULLS FIRST) AS INTEGER) AS rank, v AS value, n AS count
+        SELECT '{column}' AS name, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, v) AS INTEGER) AS rank, v AS value, n AS count
         FROM (SELECT COALESCE(CAST({column} AS VARCHAR), 'None') AS v, COUNT(*) AS n FROM {source} g GROUP BY 1) t)
         WHERE rank <= 5"""
 

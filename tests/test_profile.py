@@ -278,3 +278,20 @@ def test_statistics_match_pandas(spark, rows):
     counts = frame["s"].map(lambda v: "None" if v is None else v).value_counts()
     best = {r["value"]: r["count"] for r in top_values(df).collect()}
     assert sum(best.values()) == counts.head(5).sum() and all(counts[v] == n for v, n in best.items())
+
+
+def test_ties_of_long_texts_go_by_value(spark):
+    """Texts that share 64 and more characters, in order of value whatever their digests."""
+    head, long = "h" * 64, "h" * 64 + "x" * 1_000
+    texts = [head + c for c in "hgfedcba"]
+    assert [r["value"] for r in top_values(spark.createDataFrame([(t,) for t in texts], "t string"), 5).orderBy("rank").collect()] == sorted(texts)[:5]
+    texts += [head, long + "b", long + "a", long, long + "é", long + "zz"] * 2 + ["short"] * 3 + [long + "twice"] * 2
+    texts += [long + "y" * 200 + str(i % 7) for i in range(14)] + [None, None]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").repartition(5)
+    counts = {}
+    for t in texts:
+        counts["None" if t is None else t] = counts.get("None" if t is None else t, 0) + 1
+    want = sorted(counts.items(), key=lambda p: (-p[1], p[0].encode()))
+    for k in (1, 3, 5, 9, 14, 40):
+        got = [(r["value"], r["count"]) for r in top_values(df.select("t"), k).orderBy("rank").collect()]
+        assert got == want[:k]
