@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +24,9 @@ KIND_OF_EXTENSION = {
 }
 KINDS = ["datasets", "notebooks", "sql_files", "python_files", "markdown_files", "artifacts"]
 HIDDEN_PARTS = [".git", "__pycache__"]
+WILD = re.compile(r"[*?\[]")
+ENDING = re.compile(r"\*\.[^*?\[/.]+")
+REGEXES_AT_ONCE = 200
 
 
 def file_kind(rel_path: Column, artifacts_prefix: str | None = None) -> Column:
@@ -83,14 +87,66 @@ def pattern_regex(pattern: str) -> str | None:
     return f"(?s)(^|/)({part}{tail})"
 
 
+class _Run(NamedTuple):
+    """Neighbouring patterns of one sign, by the way they are looked up."""
+
+    keep: bool
+    parts: set[str]  # whole parts of the path
+    heads: set[str]  # the path down to some part
+    tails: set[str]  # the path from some part on
+    endings: set[str]  # what follows the last dot of a part, with the dot
+    regexes: list[str]
+
+    def add(self, pattern: str) -> None:
+        glob = pattern.strip()
+        anchored = glob.startswith("/")
+        glob = (glob[1:] if anchored else glob).rstrip("/")
+        if not glob:
+            return
+        if not WILD.search(glob):
+            (self.heads if anchored else self.tails if "/" in glob else self.parts).add(glob)
+        elif not anchored and ENDING.fullmatch(glob):
+            self.endings.add(glob[1:])
+        else:
+            self.regexes.append(pattern_regex(pattern))
+
+    def fits(self, path: Column) -> Column:
+        parts = F.split(path, "/")
+        places = F.sequence(F.lit(1), F.size(parts))
+        found = F.lit(False)
+        if self.parts:
+            found |= F.exists(parts, lambda p: p.isin(sorted(self.parts)))
+        if self.heads:
+            heads = F.transform(places, lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+            found |= F.exists(heads, lambda p: p.isin(sorted(self.heads)))
+        if self.tails:
+            tails = F.transform(places, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+            found |= F.exists(tails, lambda p: p.isin(sorted(self.tails)))
+        if self.endings:
+            endings = F.transform(parts, lambda p: F.concat(F.lit("."), F.substring_index(p, ".", -1)))
+            dotted = F.zip_with(parts, endings, lambda p, e: F.when(p.contains("."), e))
+            found |= F.exists(dotted, lambda e: F.coalesce(e.isin(sorted(self.endings)), F.lit(False)))
+        for start in range(0, len(self.regexes), REGEXES_AT_ONCE):
+            found |= path.rlike("|".join(f"(?:{r})" for r in self.regexes[start : start + REGEXES_AT_ONCE]))
+        return found
+
+
 def is_ignored(rel_path: Column, patterns: list[str]) -> Column:
-    """Whether a path is ignored: the last pattern that fits decides, ``!`` keeps."""
-    verdict = F.lit(False)
+    """Whether a path is ignored: the last pattern that fits decides, ``!`` keeps.
+
+    Only where the sign changes from one pattern to the next is a decision of its own.
+    Patterns without wildcards, and those for an extension, are looked up in hash sets, so
+    thousands of them cost a path no more than a few; the others are tested together.
+    """
+    runs: list[_Run] = []
     for pattern in patterns:
         keep = pattern.startswith("!")
-        regex = pattern_regex(pattern[1:] if keep else pattern)
-        if regex:
-            verdict = F.when(rel_path.rlike(regex), F.lit(not keep)).otherwise(verdict)
+        if not runs or runs[-1].keep != keep:
+            runs.append(_Run(keep, set(), set(), set(), set(), []))
+        runs[-1].add(pattern[1:] if keep else pattern)
+    verdict = F.lit(False)
+    for run in runs:
+        verdict = F.when(run.fits(rel_path), F.lit(not run.keep)).otherwise(verdict)
     return verdict
 
 

@@ -21,7 +21,9 @@ from tabscope.operators.duplicates import duplicate_count
 from tabscope.operators.quantiles import approximate_quantiles
 from tabscope.operators.roles import ROLES, quality_warnings, with_roles
 from tabscope.plans.coverage.registry import register, table, table_path
+from tabscope.plans.growing import DISTINCT_ERROR, RANK_ERROR, grown_profile
 from tabscope.plans.profile import compact_profile, inspect_frame, profile_columns, profile_dataset, profile_frame
+from tabscope.session import scratch_path
 
 # Column -> Spark type of the tables that the oracles describe.
 COLUMNS = {
@@ -429,3 +431,49 @@ def date_coerce_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = written_dates(spark, sf_dir)
     typed = coerce_dates(df, detect_date_columns(df, order_by=["o_orderkey"]))
     return missing_stats(typed).select("name", "missing_count", "missing_pct")
+
+
+GROWN = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@register(
+    "profile_grown",
+    union_all(
+        f"""SELECT '{c}' AS name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS missing_count,
+                   {f'CAST(MIN({c}) AS DOUBLE)' if c in GROWN[:2] + GROWN[3:4] else 'NULL'} AS min,
+                   {_stamp(f'MAX({c})') if c == 'o_orderdate' else 'NULL'} AS date_max, TRUE AS distinct_within_error,
+                   TRUE AS quartiles_within_error, 1 AS files_scanned FROM orders"""
+        for c in GROWN
+    ),
+)
+def profile_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two steps: the second one scans the new file only, and estimates stay within their errors."""
+    data, store = scratch_path(spark, "grown"), scratch_path(spark, "sketches")
+    orders = table(spark, sf_dir, "orders")
+    orders.where("o_orderkey % 4 < 3").write.parquet(data)
+    grown_profile(spark, data, store)
+    orders.where("o_orderkey % 4 = 3").coalesce(1).write.mode("append").parquet(data)
+    found = grown_profile(spark, data, store)
+    exact = distinct_stats(orders).select("name", F.col("unique_count").alias("exact"))
+    quartiles = ("q25", "q50", "q75")
+    numeric = {r["name"]: r for r in found.columns.where("kind = 'numeric'").collect()}
+    ranks = [
+        F.avg((F.col(c).cast("double") <= r[q]).cast("double")).alias(f"{c}_{q}") for c, r in numeric.items() for q in quartiles
+    ] + [F.avg((F.col(c).cast("double") < r[q]).cast("double")).alias(f"{c}_{q}_below") for c, r in numeric.items() for q in quartiles]
+    seen = orders.agg(*ranks).first()
+    good = {
+        c: all(seen[f"{c}_{q}_below"] - 2 * RANK_ERROR <= t <= seen[f"{c}_{q}"] + 2 * RANK_ERROR for q, t in zip(quartiles, (0.25, 0.5, 0.75)))
+        for c in numeric
+    }
+    wrong = [c for c, ok in good.items() if not ok]
+    off = F.abs(F.col("unique_count") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * DISTINCT_ERROR * F.col("exact"))
+    return found.columns.join(exact, "name").select(
+        "name",
+        F.lit(found.rows).cast("bigint").alias("row_count"),
+        "missing_count",
+        "min",
+        "date_max",
+        off.alias("distinct_within_error"),
+        (~F.col("name").isin(wrong)).alias("quartiles_within_error"),
+        F.lit(len(found.scanned)).alias("files_scanned"),
+    )

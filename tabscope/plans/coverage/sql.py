@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators.asof import asof_join
 from tabscope.operators.interval import interval_join, overlap_join
+from tabscope.operators.sample import exact_sample
 from tabscope.operators.scan import running
 from tabscope.plans.coverage.registry import register, register_sql, table, table_path
 from tabscope.plans.sql import open_workspace
@@ -451,6 +452,20 @@ register_sql(
 )
 register_sql("sql_sample", "lineitem", "SELECT * FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)", None)
 
+
+SAMPLE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register(
+    "sql_sample_rows",
+    f"""SELECT {', '.join(SAMPLE_KEYS)} FROM lineitem
+        ORDER BY md5('7' || chr(31) || {" || chr(31) || ".join(SAMPLE_KEYS)}), {', '.join(SAMPLE_KEYS)} LIMIT 500""",
+)
+def sql_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``USING SAMPLE 500 ROWS``, the same 500 in every run."""
+    return exact_sample(table(spark, sf_dir, "lineitem").select(*SAMPLE_KEYS), 500, seed=7)
+
+
 # --- set operations -----------------------------------------------------------
 
 BIG, URGENT = "o_totalprice > 250000", "o_orderpriority = '1-URGENT'"

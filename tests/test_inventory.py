@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import fnmatch
 import itertools
 
 from pyspark.sql import functions as F
 
-from tabscope.operators.inventory import classify_files, is_ignored, read_patterns, summarize_files
+from tabscope.operators.inventory import classify_files, is_ignored, read_patterns, summarize_files, pattern_regex
 from tabscope.sources.files import dataset_size, list_files
 
 
@@ -88,3 +92,42 @@ def test_last_pattern_wins(spark):
     df = spark.createDataFrame([("agents/other.sql",), ("agents/keep.sql",)], "p string")
     rows = df.select(is_ignored(F.col("p"), ["agents/", "!agents/keep.sql"])).collect()
     assert [r[0] for r in rows] == [True, False]
+
+
+def one_by_one(path: str, patterns: list[str]) -> bool:
+    """The rule itself: each pattern's expression in turn, the last that fits decides."""
+    ignored = False
+    for p in patterns:
+        regex = pattern_regex(p.removeprefix("!"))
+        if regex and re.search(regex.replace("(?s)", ""), path, re.DOTALL):
+            ignored = not p.startswith("!")
+    return ignored
+
+
+def test_many_patterns_follow_the_rule(spark):
+    rng = random.Random(2)
+    words = ["a", "b", "c1", "d.py", "e.tar.gz", "f", "g.sql", ".h"]
+    paths = ["/".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(400)]
+
+    def pattern():
+        body = "/".join(rng.choices([*words, "*", "c?", "*.py", "*.gz", "[ab]", "d*", "*.tar.gz", ".*"], k=rng.choice([1, 1, 2, 3])))
+        return rng.choice(["", "", "!"]) + rng.choice(["", "/"]) + body + rng.choice(["", "/"])
+
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for many in (1, 3, 12, 60):
+        patterns = [pattern() for _ in range(many)]
+        got = {r.p: r.i for r in df.select("p", is_ignored(F.col("p"), patterns).alias("i")).collect()}
+        assert got == {p: one_by_one(p, patterns) for p in paths}, patterns
+
+
+def test_thousands_of_patterns_plan_in_seconds(spark):
+    patterns = [f"dir{i}/" for i in range(2_000)] + [f"/top{i}/x" for i in range(1_500)] + [f"*.ext{i}" for i in range(1_000)]
+    patterns += ["!keep.ext5", *[f"file-{i}-*.log" for i in range(499)], "!dir7/deep/keep.txt"]
+    paths = {
+        "a/dir1999/b": True, "top3/x/y": True, "a/top3/x": False, "n.ext999": True, "keep.ext5": False, "file-7-1.log": True,
+        "dir7/deep/keep.txt": False, "dir7/deep/other.txt": True, "plain.txt": False,
+    }
+    began = time.monotonic()
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.i for r in df.select("p", is_ignored(F.col("p"), patterns).alias("i")).collect()}
+    assert got == paths and time.monotonic() - began < 15
