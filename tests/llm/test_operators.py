@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabscope.llm import chat, langid, licenses, mixing, packing, pii, quality, simhash, topk, toxicity
+from tabscope.llm import bpe, chat, langid, licenses, mixing, packing, pii, quality, simhash, topk, toxicity
 from tabscope.llm.common import read_table
 from tabscope.llm.components import components
 from tabscope.llm.queries import QUERIES, public_tokens
@@ -439,27 +439,70 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-# ---- odd inputs
-
-
-def test_odd_inputs(odd_docs, no_docs):
-    labels = odd_docs.select("doc_id", F.lit(1).alias("toxic")).union(odd_docs.select("doc_id", F.lit(None).cast("int")))
-    n = odd_docs.count()
-    for docs, rows in ((odd_docs, n), (no_docs, 0)):
-        assert quality.quality_table(docs).count() == rows
-        assert quality.keep_good(docs).columns == docs.columns
-        assert mixing.draw(docs).count() == rows
-        assert mixing.mixed(docs).columns == docs.columns
-        assert pii.redact_rows(docs).count() == rows
-        index = toxicity.fit(docs, labels)
-        assert toxicity.score_toxicity(docs, index).where("score between 0 and 1").count() == rows
-        model = langid.fit(docs)
-        assert langid.identify_languages(docs, model).count() == rows
-        assert licenses.scan_licenses(docs).count() == rows
-        assert simhash.simhash_components(docs).count() == rows
-        kept = simhash.keep_first(docs)
-        assert kept.columns == docs.columns and kept.count() <= rows
-        pieces = packing.best_fit(docs, public_tokens())
-        assert pieces.select("doc_id").where("piece = 0").count() == rows
+# ---- odd inputs: nulls, empty and very long texts, repeated rows, clashing names, no rows
+
+
+def odd_labels(docs):
+    return docs.select("doc_id", F.lit(1).alias("toxic")).union(docs.select("doc_id", F.lit(None).cast("int")))
+
+
+def scored(docs):
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, odd_labels(docs))).where("score between 0 and 1")
+
+
+#: Operators that give a row for each document.
+ROW_BY_ROW = {
+    "quality": quality.quality_table,
+    "mixing": mixing.draw,
+    "pii": pii.redact_rows,
+    "find_pii": pii.find_pii,
+    "toxicity": scored,
+    "langid": lambda docs: langid.identify_languages(docs, langid.fit(docs)),
+    "licenses": licenses.scan_licenses,
+    "simhash": simhash.simhash_components,
+    "packing": lambda docs: packing.best_fit(docs, public_tokens()).where("piece = 0"),
+    "bpe": lambda docs: bpe.decode(bpe.encode(docs, public_tokens().path), public_tokens().path),
+}
+#: Operators that keep the columns of the documents.
+SAME_COLUMNS = {"keep_good": quality.keep_good, "mixed": mixing.mixed, "redact_rows": pii.redact_rows, "keep_first": simhash.keep_first}
+
+
+@pytest.mark.parametrize("name", list(ROW_BY_ROW))
+def test_odd_documents(odd_docs, name):
+    assert ROW_BY_ROW[name](odd_docs).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("name", list(ROW_BY_ROW))
+def test_no_documents(no_docs, name):
+    assert ROW_BY_ROW[name](no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", list(SAME_COLUMNS))
+def test_columns_stay(odd_docs, no_docs, name):
+    out = SAME_COLUMNS[name](odd_docs)
+    assert out.columns == odd_docs.columns and out.count() <= odd_docs.count() * 2
+    assert SAME_COLUMNS[name](no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", ["redacted", "spans", "n_email", "base_sha256", "_text"])
+def test_redaction_with_columns_of_its_own_names(spark, name):
+    docs = spark.createDataFrame([(1, "mail me@here.example.com", "mine", 24), (2, None, None, None)], f"doc_id long, text string, `{name}` string, n_chars int")
+    rows = sorted(pii.redact_rows(docs).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r) for r in rows] == [(1, "mail [EMAIL]", "mine", 12), (2, None, None, None)]
+
+
+def test_top_k_of_odd_vectors(spark, no_docs):
     vectors = no_docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
     assert topk.top_k(vectors, F.col("vec_id") % 50 == 0).count() == 0
+    tiny = spark.createDataFrame([(50, [-1e-20, 1.0]), (51, [1.0, 1.0]), (52, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(tiny, F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(52, 65408), (51, 65280)]
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op11_bpe", "op12_hard_negatives", "op13_conversation_repair")])
+def test_every_column_can_be_read_alone(spark, sf_dir, name):
+    table = QUERIES[name](spark, sf_dir)
+    n = table.count()
+    assert n > 0
+    for c in table.columns:
+        assert len(table.select(c).collect()) == n
