@@ -36,6 +36,9 @@ HEADLINE = [
     "sql_win_rank",
     "sql_qualify",
     "sql_asof",
+    "sql_win_running",
+    "sql_join_interval",
+    "sql_sample_rows",
     "sql_topk",
     "sql_row_count",
     "scan_csv",
