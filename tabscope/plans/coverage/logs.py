@@ -13,20 +13,21 @@ from tabscope.operators.logs import (
     tool_summary,
 )
 from tabscope.plans.coverage.registry import register, table
-from tabscope.sources.logs import ARTIFACT_SCHEMA, ASSUMPTION_SCHEMA, EVENT_SCHEMA, parse_lines
+from tabscope.session import scratch_path
+from tabscope.sources.logs import ARTIFACT_SCHEMA, ASSUMPTION_SCHEMA, EVENT_SCHEMA, parse_lines, read_assumptions, read_events
+from tabscope.streaming.appended import follow_appended_events
 
 
 def _record(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("line")
 
 
-@register(
-    "log_events",
-    """SELECT event_type, COUNT(*) AS n_events, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen,
-              strftime(MAX(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events GROUP BY event_type""",
-)
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select(
+EVENTS_SQL = """SELECT event_type, COUNT(*) AS n_events, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen,
+              strftime(MAX(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events GROUP BY event_type"""
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         _record(
             id=F.concat(F.lit("evt-"), "event_id"),
             event_type=F.col("event_type"),
@@ -35,13 +36,52 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             outputs=F.struct("value"),
         )
     )
+
+
+def _written(lines: DataFrame) -> str:
+    """The lines as text files of a log folder."""
+    path = scratch_path(lines.sparkSession, "log")
+    lines.write.text(path)
+    return path
+
+
+def _by_type(events: DataFrame) -> DataFrame:
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    by_type = events_by_type(parse_lines(lines, "line", EVENT_SCHEMA))
-    return by_type.select(
+    return events_by_type(events).select(
         "event_type", "n_events", *[F.date_format(c, stamp).alias(c) for c in ("first_seen", "last_seen")]
     )
 
 
+@register("log_events", EVENTS_SQL)
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_type(parse_lines(_event_lines(spark, sf_dir), "line", EVENT_SCHEMA))
+
+
+@register("log_events_files", EVENTS_SQL)
+def log_events_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the files of a log."""
+    return _by_type(read_events(spark, _written(_event_lines(spark, sf_dir))))
+
+
+@register("log_events_stream", EVENTS_SQL)
+def log_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over the log, stopped and started again after a part of it."""
+    lines = _event_lines(spark, sf_dir)
+    early = F.xxhash64("line") % 3 == 0
+    log = _written(lines.where(early))
+    arrived, checkpoint = scratch_path(spark, "arrived"), scratch_path(spark, "stream")
+    for more in (None, lines.where(~early)):
+        if more is not None:
+            more.write.mode("append").text(log)
+        events = follow_appended_events(spark, log, ".txt", split_bytes=1 << 20)
+        query = (
+            events.writeStream.format("parquet").option("path", arrived)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return _by_type(spark.read.parquet(arrived))
+
+
 @register(
     "log_artifacts",
     """SELECT 'art-' || page_id AS id, url AS path, 'chart' AS artifact_type, length(html) AS size
@@ -62,13 +102,12 @@ def log_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "path", "artifact_type", size.alias("size"))
 
 
-@register(
-    "log_assumptions",
-    """SELECT 'asm-' || conv_id || '-' || turn AS id, text, role AS source,
-              CASE WHEN turn = 0 THEN 'high' END AS confidence FROM conversations""",
-)
-def log_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select(
+ASSUMPTIONS_SQL = """SELECT 'asm-' || conv_id || '-' || turn AS id, text, role AS source,
+              CASE WHEN turn = 0 THEN 'high' END AS confidence FROM conversations"""
+
+
+def _assumption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
         _record(
             id=F.concat(F.lit("asm-"), "conv_id", F.lit("-"), "turn"),
             text=F.col("text"),
@@ -76,7 +115,17 @@ def log_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
             confidence=F.when(F.col("turn") == 0, F.lit("high")),
         )
     )
-    return parse_lines(lines, "line", ASSUMPTION_SCHEMA).drop("timestamp")
+
+
+@register("log_assumptions", ASSUMPTIONS_SQL)
+def log_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_lines(_assumption_lines(spark, sf_dir), "line", ASSUMPTION_SCHEMA).drop("timestamp")
+
+
+@register("log_assumptions_files", ASSUMPTIONS_SQL)
+def log_assumptions_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the files of a log."""
+    return read_assumptions(spark, _written(_assumption_lines(spark, sf_dir))).drop("timestamp")
 
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
