@@ -61,9 +61,9 @@ def missing_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_stats(df: DataFrame) -> DataFrame:
+def distinct_stats(df: DataFrame, infos: list[ColumnInfo] | None = None) -> DataFrame:
     """One row per column: ``ordinal, name, unique_count`` (exact, missing values excluded)."""
-    infos = column_infos(df)
+    infos = infos or column_infos(df)
     parts = []
     for family, members in by_family(infos).items():
         if family == "string":

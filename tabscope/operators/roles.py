@@ -43,9 +43,9 @@ def role_flags(rows: Column) -> dict[str, Column]:
 
 
 def with_roles(stats: DataFrame, rows: int | Column) -> DataFrame:
-    """Add the boolean columns ``is_id, is_target, ...``."""
+    """Add the boolean columns ``is_id, is_target, ...``; ``unique_count`` may be null where no role depends on it."""
     rows = rows if isinstance(rows, Column) else F.lit(rows)
-    return stats.withColumns({f"is_{role}": flag for role, flag in role_flags(rows).items()})
+    return stats.withColumns({f"is_{role}": F.coalesce(flag, F.lit(False)) for role, flag in role_flags(rows).items()})
 
 
 def role_arrays() -> list[Column]:

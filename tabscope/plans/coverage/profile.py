@@ -22,6 +22,7 @@ from tabscope.operators.quantiles import approximate_quantiles
 from tabscope.operators.roles import ROLES, quality_warnings, with_roles
 from tabscope.plans.coverage.registry import register, table, table_path
 from tabscope.plans.growing import DISTINCT_ERROR, RANK_ERROR, grown_profile
+from tabscope.plans.light import light_statistics
 from tabscope.plans.profile import compact_profile, inspect_frame, profile_columns, profile_dataset, profile_frame
 from tabscope.session import scratch_path
 
@@ -262,7 +263,7 @@ ROLE_SOURCES = ("customer", "part", "orders", "lineitem", "events", "documents",
 @register("roles", union_all([_roles_sql(s) for s in ROLE_SOURCES]))
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flagged(source: str) -> DataFrame:
-        stats, rows = profile_columns(table(spark, sf_dir, source), with_quartiles=False)
+        stats, rows = light_statistics(table(spark, sf_dir, source))
         return with_roles(stats, rows).select(F.lit(source).alias("source"), "name", *[f"is_{r}" for r in ROLES])
 
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -294,7 +295,7 @@ GAPS_TWICE_SQL = f"(SELECT * FROM {GAPS_SQL} a UNION ALL SELECT * FROM {GAPS_SQL
 def warnings_of_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = gaps(spark, sf_dir)
     twice = base.unionAll(base.where(F.col("c_mktsegment") == "BUILDING"))
-    stats, _ = profile_columns(twice, with_quartiles=False)
+    stats, _ = light_statistics(twice, distinct=False)
     return quality_warnings(stats, duplicate_count(twice))
 
 

@@ -139,13 +139,10 @@ def _value_statistics(
     return distinct, quartiles, tops
 
 
-def profile_columns(
-    df: DataFrame, with_quartiles: bool = True, approximate: bool = False
-) -> tuple[DataFrame, int]:
+def profile_columns(df: DataFrame, approximate: bool = False) -> tuple[DataFrame, int]:
     """The statistics table (one row per column) and the row count.
 
-    Roles and warnings do not need quartiles and can leave them out. With
-    ``approximate``, distinct counts of numeric and temporal columns and all
+    Roles and warnings alone need less, see ``light.py``. With ``approximate``, distinct counts of numeric and temporal columns and all
     quartiles are estimates, which spares the shuffle of their values.
     """
     infos = column_infos(df)
@@ -153,7 +150,7 @@ def profile_columns(
     rows = scan["rows"]
     exact = [i for i in infos if i.kind == OTHER] if approximate else infos
     non_missing = {i.ordinal: rows - scan[f"missing{i.ordinal}"] for i in infos}
-    numeric = [i for i in infos if i.kind == NUMERIC] if with_quartiles and not approximate else []
+    numeric = [i for i in infos if i.kind == NUMERIC and not approximate]
     distinct, quartiles, tops = _value_statistics(df, exact, numeric, non_missing)
     if approximate:
         estimated = [i for i in infos if i.kind != OTHER]
