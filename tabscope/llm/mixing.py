@@ -25,6 +25,7 @@ through.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,8 @@ KEY_BITS, STEP_BITS = 60, 10
 #: A source has up to 2^10 blocks, of this many words where it has fewer.
 BLOCK_BITS, BLOCK_WORDS = 10, 16_384
 SHARDS, SEED = 64, 7
+#: Words of a shard that one task writes.
+PIECE_WORDS = 16_000_000
 SOURCES = "_source string, _size long, _target double, _rounds int, _cut long, _bits int, _offsets array<long>"
 
 
@@ -173,20 +176,26 @@ def source_table(docs_keyed: DataFrame, seed: int, shards: int) -> DataFrame:
     return small_frame(spark, rows, SOURCES)
 
 
-def draw(
+def draw(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``times`` and ``shards``.
+
+    ``times`` is how often the mix takes the row, ``shards`` the output shard of each
+    copy. Sizes and places are computed once more from the rows for the result; the
+    narrow table of them serves the totals and the narrowing steps. ``options`` are those
+    of ``_drawn``.
+    """
+    return _drawn(docs, **options)[0]
+
+
+def _drawn(
     docs: DataFrame,
     id_col: str = "doc_id",
     source: str = "source",
     text: str = "text",
     shards: int = SHARDS,
     seed: int = SEED,
-) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``times`` and ``shards``.
-
-    ``times`` is how often the mix takes the row, ``shards`` the output shard of each
-    copy. Sizes and places are computed once more from the rows for the result; the
-    narrow table of them serves the totals and the narrowing steps.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``draw`` and the table of sources."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     wide = keyed(
         docs.select(own, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("_text")),
@@ -195,7 +204,7 @@ def draw(
     narrow = saved(wide.select("source", "_key", "_size_of"), "sizes")
     table = source_table(narrow, seed, shards)
     times = F.col("_rounds") + F.when(F.col("_key") < F.col("_cut"), 1).otherwise(0)
-    return (
+    rows = (
         wide.join(table, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("times", times.cast("int"))
         .withColumn("_block", F.call_function("shiftright", F.col("_key"), F.lit(KEY_BITS) - F.col("_bits")))
@@ -213,13 +222,27 @@ def draw(
         )
         .select("_doc", F.col("_size_of").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), "times", "shards", "_key")
     )
+    return rows, table
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **columns: str) -> DataFrame:
-    """The mix: rows of ``docs`` as often as they are drawn, by shard, shuffled in each."""
-    copies = draw(docs, shards=shards, seed=seed, **columns).select("_doc", "_key", F.posexplode("shards").alias("_copy", "_shard"))
-    return (
-        copies.repartition("_shard")
-        .sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_copy", "_key"))
-        .select("_doc.*")
-    )
+def pieces_of(words: float, shards: int, piece_words: int = PIECE_WORDS) -> int:
+    """Tasks that write a shard of a mix of so many words."""
+    return max(1, math.ceil(words / shards / piece_words))
+
+
+def mixed(
+    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, piece_words: int = PIECE_WORDS, **columns: str
+) -> DataFrame:
+    """The mix: rows of ``docs`` as often as they are drawn, by shard, shuffled in each.
+
+    A shard of more than ``piece_words`` words is written by several tasks: its shuffled
+    order is dealt to them by hash, so no task grows with the corpus.
+    """
+    rows, table = _drawn(docs, shards=shards, seed=seed, **columns)
+    pieces = pieces_of(table.agg(F.coalesce(F.sum("_target"), F.lit(0.0))).first()[0], shards, piece_words)
+    order = F.xxhash64(F.lit(seed), "_copy", "_key")
+    copies = rows.select("_doc", "_key", F.posexplode("shards").alias("_copy", "_shard"))
+    keys = ["_shard"] if pieces == 1 else ["_shard", F.pmod(order, F.lit(pieces))]
+    # AQE may merge small partitions of the default number; many pieces need their own number
+    dealt = copies.repartition(*keys) if pieces == 1 else copies.repartition(shards * pieces, *keys)
+    return dealt.sortWithinPartitions(*keys, order).select("_doc.*")

@@ -136,6 +136,14 @@ def test_mixed_rows_are_the_draw(docs):
     assert got == Counter({d: n for d, n in drawn.items() if n})
 
 
+def test_large_shards_are_written_by_several_tasks(docs):
+    whole, cut = mixing.mixed(docs, shards=4), mixing.mixed(docs, shards=4, piece_words=50)
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+    assert ids(whole.collect()) == ids(cut.collect())
+    assert cut.rdd.getNumPartitions() > 4
+    assert [mixing.pieces_of(w, 4, 50) for w in (0, 200, 201, 4000)] == [1, 1, 2, 20]
+
+
 # ---- 4: personal data
 
 BASE = (
