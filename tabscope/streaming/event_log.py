@@ -11,6 +11,7 @@ def follow_events(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     """A streaming DataFrame of the event records in new files below ``path``.
 
     Each file is read once, so writers add complete files; a line appended to a file
-    that has been read does not arrive. ``read_events`` reads such a log whole.
+    that has been read does not arrive; ``follow_appended_events`` reads such logs.
+    ``read_events`` reads a log whole.
     """
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
