@@ -1,32 +1,40 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Labelled texts are examples; a text is scored by the votes of its nearest examples,
-weighed by their similarity, and those examples are its evidence. The terms are those
-whose presence goes with the label in the examples (chi-square), their document
-frequency is counted over all documents. A constant component stands for the rest of a
-text, so texts without such a term are near to examples without one.
-
-Examples lie in an inverted index of blocks; for each term a block keeps its greatest
-weight. A query bounds every block by the sum of its weights times those maxima, opens
-blocks by falling bound and stops when the k-th similarity reaches the next bound, so
-the search is exact. Examples with equal vectors are one entry with several votes, so
-copies and ties are all counted. Votes are scaled back to the shares of the labels in
-the whole labelled table, as examples are drawn evenly from both labels.
-
-Defined cases: a null or empty text is scored by the constant component alone;
-labels that are null teach nothing; a document with several labels counts as toxic if
-one says so; without examples every score is 0; repeated rows get equal scores; null
-ids get scores and teach nothing; an empty table gives no rows; further columns are
-passed through.
+weighed by their similarity, and those examples are its evidence. The terms are all
+words of the examples and their beginnings. A term weighs its frequency in the text, its
+inverse document frequency over all documents, and the square root of the chi-square by
+which its presence goes with the label in the examples: what tells nothing about the
+label moves a vector little, and no term is cut off.
+
+Examples lie in an inverted index of blocks: a term's postings are runs, one for each
+block that has it, with the greatest weight of the run. Those of a frequent term are
+written out, a number for each entry, and summed first, for many texts together. What
+they give the k-th entry is a lower bound of the k-th similarity; a block whose greatest
+sum, with the weights of its runs' maxima, stays below it cannot hold a nearest example,
+and its postings are not read. So the search is exact. Examples
+with equal vectors are one entry with several votes, so copies and ties are all counted.
+Votes are scaled back to the shares of the labels in the whole labelled table, as
+examples are drawn evenly from both labels. Words that no example has meet no posting:
+they lengthen a query's vector, but change neither ranks nor votes, which are relative
+to the nearest example.
+
+Defined cases: a text without a term of any example, null and empty ones too, scores the
+share of toxic labels and has no evidence; labels that are null teach nothing; a
+document with several labels counts as toxic if one says so; without examples every
+score is 0; repeated rows get equal scores; null ids get scores and teach nothing; an
+empty table gives no rows; further columns are passed through.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -34,54 +42,57 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from tabscope.llm.common import map_columns, texts
 from tabscope.llm.simhash import set_links, shingle_hashes
 
-#: Examples of each label (the bound of the fit), terms, and neighbours.
-EXAMPLES, TERMS, NEIGHBOURS = 2_000, 512, 15
-#: Entries of an index block.
-BLOCK = 32
-#: Least chi-square of a term, and the least number and share of examples that have it:
-#: what a few texts have in common makes no term.
-LEAST_CHI, LEAST_EXAMPLES, LEAST_SHARE = 25.0, 4, 0.005
-#: Weight of the constant component and of the prior share among the votes; power of similarities.
-CONSTANT, PRIOR, SHARPNESS = 1.0, 0.05, 8
+#: Examples of each label (the bound of the fit), and neighbours.
+EXAMPLES, NEIGHBOURS = 2_000, 15
+#: Entries of an index block. A term that more than one in ``DENSE`` entries have is
+#: frequent. Texts searched together.
+BLOCK, DENSE, TOGETHER = 128, 20, 128
+#: Weight of the prior share among the votes; power of similarities.
+PRIOR, SHARPNESS = 0.05, 8
 #: Lengths of word beginnings that count as terms.
 STEMS = (4, 5)
 #: Words of a shingle, and the least similarity of the shingle sets of near copies.
 COPY_WORDS, COPY_LEAST = 5, 0.8
 MARKS = ".,;:!?\"'()[]{}<>*_-"
+#: Words and scored texts that a worker remembers; more only start it afresh.
+REMEMBERED, SCORED = 400_000, 20_000
 
 
-def terms_of(text: str, known=None) -> Counter:
-    """Lower-case words without the marks around them, and the beginnings of longer words.
+def word_terms(word: str) -> tuple[str, ...]:
+    """A lower-case word without the marks around it, and its beginnings.
 
-    A beginning ("word~") lets an unseen ending of a known stem count. ``known`` keeps
-    only the terms it holds.
+    A beginning ("word~") lets an unseen ending of a known stem count.
     """
+    bare = word.strip(MARKS)
+    return (bare, *(bare[:k] + "~" for k in STEMS if len(bare) > k)) if bare else ()
+
+
+def terms_of(text: str) -> Counter:
+    """How often each term comes."""
     out: Counter = Counter()
     for word, n in Counter(text.lower().split()).items():
-        bare = word.strip(MARKS)
-        if bare:
-            for term in (bare, *(bare[:k] + "~" for k in STEMS if len(bare) > k)):
-                if known is None or term in known:
-                    out[term] += n
+        for term in word_terms(word):
+            out[term] += n
     return out
 
 
-def select_terms(examples: list[tuple[set[str], int]], most: int = TERMS) -> list[str]:
-    """Terms whose presence and the label depend on each other, by chi-square."""
-    n, pos = len(examples), sum(y for _, y in examples)
-    seen, toxic = Counter(), Counter()
-    for words, y in examples:
-        seen.update(words)
-        if y:
-            toxic.update(words)
-    scored = []
-    for t, a in seen.items():
-        if max(LEAST_EXAMPLES, LEAST_SHARE * n) <= a < n:
-            over = toxic[t] * n - a * pos
-            chi = n * over * over / (a * (n - a) * max(1, pos * (n - pos)))
-            if chi >= LEAST_CHI:
-                scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:most]]
+def relevance(examples: list[tuple[np.ndarray, int]], distinct: list[int], size: int) -> np.ndarray:
+    """The square root of each term's chi-square with the label, over the ``distinct`` examples.
+
+    An example is the places of its terms and its label. Terms that only copies of
+    distinct examples have count as seen once.
+    """
+    seen, toxic = np.zeros(size), np.zeros(size)
+    for k in distinct:
+        places, y = examples[k]
+        seen[places] += 1
+        toxic[places] += y
+    for places, y in examples:
+        new = places[seen[places] == 0]
+        seen[new], toxic[new] = 1, y
+    n, pos = len(distinct), sum(examples[k][1] for k in distinct)
+    over = toxic * n - seen * pos
+    return np.sqrt(n * over * over / np.maximum(1.0, seen * (n - seen) * pos * (n - pos)))
 
 
 def distinct_examples(examples: list[tuple[str, int]]) -> list[int]:
@@ -94,59 +105,144 @@ def distinct_examples(examples: list[tuple[str, int]]) -> list[int]:
     return [k for k in range(len(examples)) if k not in copies]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Entries (distinct example vectors) in blocks, with the greatest weight per term and block."""
+    """Vectors of entries (distinct examples) as postings by term and block."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    vectors: np.ndarray  # entry by term, unit length
+    weights: np.ndarray  # of each term: idf times relevance
+    owner: np.ndarray  # of each posting, by (term, entry): its entry
+    value: np.ndarray  # its part of the entry's unit vector
+    term: np.ndarray  # its term
     toxic: np.ndarray  # votes of each entry, scaled
     clean: np.ndarray
     evidence: np.ndarray  # an example id of each entry
     share: float
 
     def __post_init__(self):
-        starts = np.arange(0, len(self.vectors), BLOCK)
-        self.block_max = np.maximum.reduceat(self.vectors, starts, axis=0) if len(starts) else self.vectors
-
-    def vector(self, counts: Counter) -> np.ndarray:
-        v = np.zeros(len(self.idf))
-        v[0] = CONSTANT
-        for t in counts.keys() & self.terms.keys():
-            v[self.terms[t]] = (1 + math.log(counts[t])) * self.idf[self.terms[t]]
-        return v / math.sqrt(v @ v)
-
-    def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and similarities of the k nearest and of all that tie with the k-th."""
-        used = np.flatnonzero(query)
-        weights = query[used]
-        bounds = self.block_max[:, used] @ weights
-        places, sims, floor = [], [], -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] < floor - 1e-9:
-                break
-            part = self.vectors[b * BLOCK : (b + 1) * BLOCK, used] @ weights
-            places.append(np.arange(b * BLOCK, b * BLOCK + len(part)))
-            sims.append(part)
-            have = np.concatenate(sims)
-            if len(have) >= k:
-                floor = np.partition(have, len(have) - k)[len(have) - k]
-        have, at = np.concatenate(sims), np.concatenate(places)
-        near = have >= floor - 1e-9
-        return at[near], have[near]
-
-    def score(self, query: np.ndarray, k: int) -> tuple[float, list[int]]:
-        if not len(self.vectors):
+        n = len(self.evidence)
+        self.blocks = -(-n // BLOCK)
+        # postings of a frequent term: a full row in each block
+        often = np.bincount(self.term, minlength=len(self.weights)) * DENSE > n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        full = often[self.term]
+        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.rows[self.row[self.term[full]], self.owner[full]] = self.value[full]
+        # postings of the others: a run for each block that has the term
+        self.owner, self.value, term = self.owner[~full], self.value[~full], self.term[~full]
+        block = self.owner // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
+        self.run_start = np.flatnonzero(new)
+        self.run_size = np.diff(self.run_start, append=len(block))
+        self.run_block = block[self.run_start]
+        self.run_max = np.maximum.reduceat(self.value, self.run_start) if len(block) else self.value
+        self.term_runs = np.searchsorted(term[self.run_start], np.arange(len(self.weights) + 1))
+        del self.term  # rows and runs know it
+
+    def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return unit((1 + np.log(counts)) * self.weights[places])
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The similarity of each query to each entry by frequent terms alone."""
+        dense = np.zeros((len(queries), len(self.rows)))
+        for q, (places, weights) in zip(dense, queries):
+            row = self.row[places]
+            q[row[row >= 0]] = weights[row >= 0]
+        return dense @ self.rows
+
+    def nearest(self, places: np.ndarray, query: np.ndarray, k: int, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries and similarities of the k nearest and of all that tie with the k-th.
+
+        ``sims`` is the query's row of ``frequent``, which is completed. Entries that share
+        no term with the query are not among the nearest.
+        """
+        first = self.term_runs[places]
+        sizes = self.term_runs[places + 1] - first
+        runs, weights = _ranges(first, sizes), np.repeat(query, sizes)
+        blocks = self.run_block[runs]
+        bounds = sims.reshape(-1, BLOCK).max(axis=1, initial=0.0) + np.bincount(blocks, weights * self.run_max[runs], self.blocks)
+        # no weight is negative: what is known of the k-th nearest already bounds it below
+        inside = (bounds >= kth(sims, k) - 1e-9)[blocks]
+        found = runs[inside]
+        many = self.run_size[found]
+        at = _ranges(self.run_start[found], many)
+        sims += np.bincount(self.owner[at], np.repeat(weights[inside], many) * self.value[at], len(sims))
+        near = np.flatnonzero((sims >= kth(sims, k) - 1e-9) & (sims > 0))
+        return near, sims[near]
+
+    def score(self, places: np.ndarray, query: np.ndarray, k: int, sims: np.ndarray) -> tuple[float, list[int]]:
+        at, sims = self.nearest(places, query, k, sims)
+        if not len(at):
             return self.share, []
-        at, sims = self.nearest(query, k)
         # relative to the nearest: how far the examples lie must not favour the prior
-        weights = (np.maximum(sims, 0.0) / max(float(sims.max()), 1e-12)) ** SHARPNESS
+        weights = (sims / sims.max()) ** SHARPNESS
         toxic, clean = float(weights @ self.toxic[at]), float(weights @ self.clean[at])
         score = (toxic + PRIOR * self.share) / (toxic + clean + PRIOR)
         best = at[np.lexsort((self.evidence[at], -sims))[:3]]
         return min(1.0, max(0.0, score)), self.evidence[best].tolist()
 
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of texts given by the places and counts of their terms."""
+        out = []
+        for start in range(0, len(texts), TOGETHER):
+            queries = [(places, self.vector(places, counts)) for places, counts in texts[start : start + TOGETHER]]
+            out += [self.score(p, q, k, sims) for (p, q), sims in zip(queries, self.frequent(queries))]
+        return out
+
+
+def kth(sims: np.ndarray, k: int) -> float:
+    """The k-th greatest, or 0 if there are fewer."""
+    return float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) > k else 0.0
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    size = np.sqrt(v @ v)
+    return v / size if size else v
+
+
+class Memory:
+    """The places of the terms of words seen: a worker cuts each distinct word once."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+        self.forget()
+
+    def forget(self):
+        self.rows: dict[str, int] = {}
+        self.known = 1  # row 0 is of words without a known term
+        self.places = np.full((4096, 1 + len(STEMS)), -1)
+
+    def row(self, word: str) -> int:
+        found = [self.terms[t] for t in word_terms(word) if t in self.terms]
+        at = 0
+        if found:
+            at, self.known = self.known, self.known + 1
+            if at >= len(self.places):
+                self.places = np.concatenate([self.places, np.full_like(self.places, -1)])
+            self.places[at, : len(found)] = found
+        self.rows[word] = at
+        return at
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a text's terms, rising, and how often each comes."""
+        if len(self.rows) > REMEMBERED:
+            self.forget()
+        words, rows = Counter(text.lower().split()), self.rows
+        at = np.array([rows[w] if w in rows else self.row(w) for w in words], np.int64)
+        many = np.fromiter(words.values(), np.float64, len(words))[at > 0]
+        places = self.places[at[at > 0]]
+        known = places >= 0
+        many = np.broadcast_to(many[:, None], places.shape)[known]
+        places, inverse = np.unique(places[known], return_inverse=True)
+        return places, np.bincount(inverse, many, len(places))
+
 
 def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, each: int) -> DataFrame:
     """(id, y, text): up to ``each`` labelled documents of either label, by hash of the id."""
@@ -170,48 +266,83 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text="text", label=
         (r["_id"], r["y"], r["text"] or "")
         for r in labelled_examples(docs, labels, id_col, text, label, each).collect()  # bounded by 2 * each
     ) if shares["n"] else []
-    rows = [(id_, y, terms_of(t)) for id_, y, t in found]
+    return build(found, shares["n"], shares["pos"], lambda terms: document_counts(docs, text, terms))
+
+
+def build(
+    examples: list[tuple[int, int, str]], n: int, pos: int, frequencies: Callable[[dict[str, int]], tuple[int, np.ndarray]]
+) -> Index:
+    """The index of (id, label, text) rows, drawn from ``n`` labelled rows of which ``pos`` are toxic.
+
+    ``frequencies`` gives the number of documents, and of those with each term.
+    """
+    share = pos / n if n else 0.0
+    counted = [terms_of(t) for _, _, t in examples]
+    terms: dict[str, int] = {}
+    for c in counted:
+        for t in c:
+            terms.setdefault(t, len(terms))
+    total, with_term = frequencies(terms)
+    sparse = []
+    for c in counted:
+        at = np.fromiter((terms[t] for t in c), np.int64, len(c))
+        order = np.argsort(at)
+        sparse.append((at[order], np.fromiter(c.values(), np.float64, len(c))[order]))
     # only one of several near copies with one label speaks for a term
-    chosen = select_terms([(set(rows[k][2]), rows[k][1]) for k in distinct_examples([(t, y) for _, y, t in found])])
-    terms = {t: i + 1 for i, t in enumerate(chosen)}
-    n, counts = document_counts(docs, text, terms)
-    idf = np.concatenate([[CONSTANT], np.log((n + 1) / (counts + 1)) + 1])
-    pos = sum(y for _, y, _ in rows)
-    up = {1: shares["pos"] / pos if pos else 0.0, 0: (shares["n"] - shares["pos"]) / (len(rows) - pos) if len(rows) > pos else 0.0}
-    index = Index(terms, idf, np.zeros((0, len(idf))), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), shares["pos"] / shares["n"] if shares["n"] else 0.0)
+    distinct = distinct_examples([(t, y) for _, y, t in examples])
+    told = relevance([(at, y) for (at, _), (_, y, _) in zip(sparse, examples)], distinct, len(terms))
+    weights = (np.log((total + 1) / (with_term + 1)) + 1) * told
+    drawn = sum(y for _, y, _ in examples)
+    up = {1: pos / drawn if drawn else 0.0, 0: (n - pos) / (len(examples) - drawn) if len(examples) > drawn else 0.0}
     entries: dict[bytes, list] = {}
-    for id_, y, c in rows:
-        v = index.vector(c)
-        e = entries.setdefault(v.tobytes(), [v, 0.0, 0.0, id_])
-        e[2 - y] += up[y]
+    for (id_, y, _), (at, many) in zip(examples, sparse):
+        v = unit((1 + np.log(many)) * weights[at])
+        at, v = at[v > 0], v[v > 0]
+        if len(at):
+            e = entries.setdefault(at.tobytes() + v.tobytes(), [at, v, 0.0, 0.0, id_])
+            e[3 - y] += up[y]
     # entries of one strongest term lie together, so a block has few strong terms
-    kept = sorted(entries.values(), key=lambda e: (int(e[0].argmax()), tuple(np.flatnonzero(e[0])), e[3]))
-    if kept:
-        index = Index(
-            terms, idf, np.stack([e[0] for e in kept]), np.array([e[1] for e in kept]),
-            np.array([e[2] for e in kept]), np.array([e[3] for e in kept], np.int64), index.share,
-        )
-    return index
+    kept = sorted(entries.values(), key=lambda e: (e[0][e[1].argmax()], -e[1].max(), e[4]))
+    sizes = np.array([len(e[0]) for e in kept], np.int64)
+    term = np.concatenate([e[0] for e in kept]) if kept else np.zeros(0, np.int64)
+    value = np.concatenate([e[1] for e in kept]) if kept else np.zeros(0)
+    order = np.argsort(term, kind="stable")
+    return Index(
+        terms, weights, np.repeat(np.arange(len(kept)), sizes)[order], value[order], term[order],
+        np.array([e[2] for e in kept]), np.array([e[3] for e in kept]), np.array([e[4] for e in kept], np.int64), share,
+    )
 
 
 def document_counts(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Documents, and documents with each term, over the whole table."""
-
-    def run(batch, _) -> dict:
-        found = np.zeros(len(terms) + 1, np.int64)
-        for t in texts(batch, text):
-            for term in terms_of(t, terms):
-                found[terms[term]] += 1
-        found[0] = batch.num_rows
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples
+
+    def run(batches):
+        memory = memory_of(shared.value)
+        found, n = np.zeros(len(memory.terms), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for t in texts(batch, text):
+                found[memory.counts(t)[0]] += 1
         at = np.flatnonzero(found)
-        return {"term": at, "n": found[at]}
+        # place -1 counts the documents
+        yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "n": np.append(found[at], n)})
+
+    parts = docs.select(text).mapInArrow(run, "term long, n long")
+    rows = parts.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
+    found = np.zeros(len(terms) + 1)
+    found[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return int(found[-1]), found[:-1]
 
-    parts = map_columns(docs.select(text), run, "term int, n long", rows=4096)
-    rows = parts.groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term
-    found = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        found[r["term"]] = r["n"]
-    return int(found[0]), found[1:].astype(float)
+
+_MEMORY: list = [None, None]
+
+
+def memory_of(terms: dict[str, int]) -> Memory:
+    """One memory for each worker process and vocabulary; it stays warm between tasks."""
+    if _MEMORY[0] is not terms:
+        _MEMORY[:] = [terms, Memory(terms)]
+    return _MEMORY[1]
 
 
 OWN = [
@@ -226,20 +357,24 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text", neighbours
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples and terms
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
 
     def run(batch, state) -> dict:
-        known, index = state
-        scores, evidence = [], []
+        known, index, memory = state
+        if len(known) > SCORED:
+            known.clear()
+        keys, new = [], {}
         for t in texts(batch, "_text"):
-            counts = terms_of(t, index.terms)
-            key = tuple(sorted(counts.items()))
+            places, counts = memory.counts(t)
+            key = hashlib.blake2b(places.tobytes() + counts.tobytes(), digest_size=16).digest()
+            keys.append(key)
             if key not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                known[key] = index.score(index.vector(counts), neighbours)
-            s, e = known[key]
-            scores.append(s), evidence.append(e)
+                new[key] = places, counts
+        known.update(zip(new, index.scores(list(new.values()), neighbours)))
+        scores, evidence = zip(*map(known.get, keys))
         return {"_doc": batch.column(0), "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence}
 
-    return map_columns(wide, run, StructType([wide.schema["_doc"], *OWN]), lambda: ({}, shared.value))
+    def setup():
+        return {}, shared.value, memory_of(shared.value.terms)
+
+    return map_columns(wide, run, StructType([wide.schema["_doc"], *OWN]), setup)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -195,6 +196,19 @@ def test_toxicity_held_out(spark, sf_dir):
     assert sum(r.predicted for r in rows) <= 0.05 * len(rows)
 
 
+def test_toxicity_held_out_recall(spark):
+    """At sf0.1, where the contract's rule holds out about a hundred toxic documents."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("needs the larger tables")
+    got = QUERIES["op5_toxicity"](spark, folder).join(read_table(spark, folder, "labels"), "doc_id")
+    rows = got.where("held_out and toxic is not null").collect()
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(clean) <= 0.05 * len(clean)
+
+
 def test_toxicity_recall_where_all_texts_share_a_word(spark):
     rng = np.random.default_rng(7)
     shared = min((f"s{i}" for i in range(20_000)), key=lambda w: zlib.crc32(w.encode()))
@@ -218,14 +232,57 @@ def test_only_near_copies_of_one_label_are_one_example():
     assert toxicity.distinct_examples(given) == [0, 2, 3, 4, 6]
 
 
+def toxic_corpus(seed: int, n: int) -> list[tuple[int, int, str]]:
+    """Texts of frequent, rare and telling words, with copies and empty texts."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        y = int(i % 5 == 0)
+        words = [f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 900]
+        words += [f"bad{int(rng.integers(0, 40))}ly"] * y
+        rows.append((i, y, " ".join(words)))
+    return rows + [(n, 0, rows[1][2]), (n + 1, 1, rows[1][2]), (n + 2, 0, "")]
+
+
 def test_block_max_search_is_exact():
-    rng = np.random.default_rng(0)
-    v = np.abs(rng.normal(size=(200, 12))) * (rng.random((200, 12)) < 0.4) + 1e-3
-    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
-    index = toxicity.Index({}, np.ones(12), v, np.ones(200), np.ones(200), np.arange(200), 0.5)
-    for q in v[:20]:
-        at, sims = index.nearest(q, 5)
-        assert sorted(sims)[-5:] == pytest.approx(sorted(v @ q)[-5:])
+    """Similarities, votes and scores against plain dictionaries, no index."""
+    rows = toxic_corpus(0, 400)
+    counted = [toxicity.terms_of(t) for _, _, t in rows]
+    df = Counter(t for c in counted for t in c)
+    index = toxicity.build(rows, 403, 81, lambda terms: (403, np.array([float(df[t]) for t in terms])))
+    assert index.terms.keys() == df.keys()  # every term of every example
+    weights = {t: index.weights[p] for t, p in index.terms.items()}
+
+    def plain(c):
+        v = {t: (1 + np.log(n)) * weights[t] for t, n in c.items() if t in weights}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()} if size else {}
+
+    vectors = [plain(c) for c in counted]
+    memory = toxicity.Memory(index.terms)
+    for _, _, text in [*toxic_corpus(1, 60), (0, 0, "no-such word"), *rows[:40]]:
+        q = plain(toxicity.terms_of(text))
+        sims = sorted({(round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), tuple(sorted(v.items()))) for v in vectors})
+        places, counts = memory.counts(text)
+        vector = index.vector(places, counts)
+        at, got = index.nearest(places, vector, 5, index.frequent([(places, vector)])[0])
+        want = [s for s, _ in sims if s > 0 and s >= sims[-5][0]]
+        assert sorted(got) == pytest.approx(sorted(want))
+
+
+def test_rare_telling_words_are_found(spark):
+    """A word in four examples of a thousand decides, and so does a nearly equal example."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 3000)
+    rows = [(i, text() + (f" hate{i // 40}" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    new = [(k, text() + f" hate{k}", 1) for k in range(25)] + [(100 + k, text(), 0) for k in range(200)]
+    new += [(1000 + i, t + " more", 1) for i, t, y in rows if y]
+    got = toxicity.score_toxicity(spark.createDataFrame(new, "doc_id long, text string, toxic int"), index)
+    got = got.select("_doc.toxic", "predicted").collect()
+    assert sum(r.predicted for r in got if r.toxic) >= 0.9 * sum(r.toxic for r in got)
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.05 * 200
 
 
 def test_language_held_out(spark, sf_dir, docs):
