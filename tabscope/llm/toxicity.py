@@ -31,7 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +117,9 @@ class Index:
 
     terms: dict[str, int]
     weights: np.ndarray  # of each term: idf times relevance
+    starts: np.ndarray  # of each term's postings, and their end
     owner: np.ndarray  # of each posting, by (term, entry): its entry
     value: np.ndarray  # its part of the entry's unit vector
-    term: np.ndarray  # its term
     toxic: np.ndarray  # votes of each entry, scaled
     clean: np.ndarray
     evidence: np.ndarray  # an example id of each entry
@@ -129,22 +129,27 @@ class Index:
         n = len(self.evidence)
         self.blocks = -(-n // BLOCK)
         # postings of a frequent term: a full row in each block
-        often = np.bincount(self.term, minlength=len(self.weights)) * DENSE > n
+        many = np.diff(self.starts)
+        often = many * DENSE > n
+        term = np.repeat(np.arange(len(many)), many)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
-        full = often[self.term]
+        full = often[term]
         self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
-        self.rows[self.row[self.term[full]], self.owner[full]] = self.value[full]
+        self.rows[self.row[term[full]], self.owner[full]] = self.value[full]
         # postings of the others: a run for each block that has the term
-        self.owner, self.value, term = self.owner[~full], self.value[~full], self.term[~full]
-        block = self.owner // BLOCK
+        self.rare_owner, self.rare, term = self.owner[~full], self.value[~full], term[~full]
+        block = self.rare_owner // BLOCK
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
         self.run_start = np.flatnonzero(new)
         self.run_size = np.diff(self.run_start, append=len(block))
         self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.value, self.run_start) if len(block) else self.value
+        self.run_max = np.maximum.reduceat(self.rare, self.run_start) if len(block) else self.rare
         self.term_runs = np.searchsorted(term[self.run_start], np.arange(len(self.weights) + 1))
-        del self.term  # rows and runs know it
+
+    def __reduce__(self):
+        # rows and runs are made anew from the postings, which are much smaller
+        return Index, tuple(getattr(self, f.name) for f in fields(self))
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return unit((1 + np.log(counts)) * self.weights[places])
@@ -173,7 +178,7 @@ class Index:
         found = runs[inside]
         many = self.run_size[found]
         at = _ranges(self.run_start[found], many)
-        sims += np.bincount(self.owner[at], np.repeat(weights[inside], many) * self.value[at], len(sims))
+        sims += np.bincount(self.rare_owner[at], np.repeat(weights[inside], many) * self.rare[at], len(sims))
         near = np.flatnonzero((sims >= kth(sims, k) - 1e-9) & (sims > 0))
         return near, sims[near]
 
@@ -186,7 +191,8 @@ class Index:
         toxic, clean = float(weights @ self.toxic[at]), float(weights @ self.clean[at])
         score = (toxic + PRIOR * self.share) / (toxic + clean + PRIOR)
         best = at[np.lexsort((self.evidence[at], -sims))[:3]]
-        return min(1.0, max(0.0, score)), self.evidence[best].tolist()
+        # texts are searched together in any order: the last digits of sums may differ
+        return round(min(1.0, max(0.0, score)), 12), self.evidence[best].tolist()
 
     def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, list[int]]]:
         """(score, evidence) of texts given by the places and counts of their terms."""
@@ -211,7 +217,7 @@ class Memory:
     """The places of the terms of words seen: a worker cuts each distinct word once."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms = terms
+        self.terms, self.last = terms, np.zeros(len(terms), np.int64)
         self.forget()
 
     def forget(self):
@@ -231,7 +237,7 @@ class Memory:
         return at
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The places of a text's terms, rising, and how often each comes."""
+        """The places of a text's terms, and how often each comes."""
         if len(self.rows) > REMEMBERED:
             self.forget()
         words, rows = Counter(text.lower().split()), self.rows
@@ -239,9 +245,13 @@ class Memory:
         many = np.fromiter(words.values(), np.float64, len(words))[at > 0]
         places = self.places[at[at > 0]]
         known = places >= 0
-        many = np.broadcast_to(many[:, None], places.shape)[known]
-        places, inverse = np.unique(places[known], return_inverse=True)
-        return places, np.bincount(inverse, many, len(places))
+        many, places = np.broadcast_to(many[:, None], places.shape)[known], places[known]
+        # of equal places one is left: the last that wrote its number
+        number = np.arange(len(places))
+        self.last[places] = number
+        last = self.last[places]
+        own = last == number
+        return places[own], np.bincount(last, many, len(places))[own]
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, each: int) -> DataFrame:
@@ -307,8 +317,9 @@ def build(
     term = np.concatenate([e[0] for e in kept]) if kept else np.zeros(0, np.int64)
     value = np.concatenate([e[1] for e in kept]) if kept else np.zeros(0)
     order = np.argsort(term, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
     return Index(
-        terms, weights, np.repeat(np.arange(len(kept)), sizes)[order], value[order], term[order],
+        terms, weights, starts, np.repeat(np.arange(len(kept), dtype=np.int32), sizes)[order], value[order],
         np.array([e[2] for e in kept]), np.array([e[3] for e in kept]), np.array([e[4] for e in kept], np.int64), share,
     )
 
