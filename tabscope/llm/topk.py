@@ -19,6 +19,7 @@ part; with no candidate a query has no row; ties go to the smaller id. Scores ou
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -31,6 +32,8 @@ CANDIDATE_SLICE, QUERY_SLICE = 65_536, 4_096
 BLOCK = 8
 CELL_SCHEMA = "query_row long, query_id long, vec_id long, score long"
 EXACT_FLOAT = 2.0**53
+#: Numbers whose squares are far from the greatest double.
+LONGEST = 2.0**400
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -95,15 +98,48 @@ def search_block(query: np.ndarray, query_id: int, ids: np.ndarray, vertical: np
     return ids[alive][top], score[top]
 
 
-def _search_large(query, query_id, ids, vertical, k):
-    """The same in Python's integers, where doubles could round."""
+def _large_scores(query: np.ndarray, query_id: int, ids: np.ndarray, vertical: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(minus score, id) of the k best in Python's integers, where doubles could round."""
     q = [int(x) for x in query]
-    found = [
-        (-sum(a * int(b) for a, b in zip(q, vertical[:, j])), int(i)) for j, i in enumerate(ids) if i != query_id
-    ]
-    found.sort()
-    low, high = -(2**63), 2**63 - 1
-    return [i for _, i in found[:k]], [min(max(-s, low), high) for s, _ in found[:k]]
+    found = ((-sum(a * int(b) for a, b in zip(q, vertical[:, j])), int(i)) for j, i in enumerate(ids) if i != query_id)
+    return heapq.nsmallest(k, found)
+
+
+class Candidates:
+    """Candidates of one length in vertical layout, ready for queries of any size.
+
+    A pair is large if its products could pass what doubles hold exactly. For a query,
+    the large candidates are those of the greatest numbers, so a cut by size parts them
+    from the others; the others of the last cut are kept for the queries that follow.
+    """
+
+    def __init__(self, ids: np.ndarray, vertical: np.ndarray):
+        self.ids, self.vertical = ids, vertical
+        self.greatest = np.abs(vertical).max(axis=0, initial=0.0)
+        self.large, self.small = np.zeros(0, np.int64), None
+
+    def _cut(self, query: np.ndarray):
+        size = np.abs(query).max(initial=0.0) * len(query)
+        with np.errstate(over="ignore"):
+            # lengths must stay finite too, of the query and of each candidate
+            least = EXACT_FLOAT / size if size else np.inf
+            large = np.flatnonzero(self.greatest >= min(least, LONGEST)) if size < LONGEST else np.arange(len(self.ids))
+        if self.small is None or len(large) != len(self.large):
+            self.large = large
+            columns = self.vertical if not len(large) else np.delete(self.vertical, large, axis=1)
+            rest = [np.sqrt((columns[s:] ** 2).sum(axis=0)) for s in range(0, len(columns), BLOCK)]
+            self.small = np.delete(self.ids, large), columns, rest
+
+    def search(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best, in order; scores are held at 64 bits."""
+        self._cut(query)
+        found = []
+        if len(self.small[0]):
+            found = [(-int(s), int(i)) for i, s in zip(*search_block(query, query_id, *self.small, k))]
+        if len(self.large):
+            found += _large_scores(query, query_id, self.ids[self.large], self.vertical[:, self.large], k)
+        low, high = -(2**63), 2**63 - 1
+        return [(i, min(max(-s, low), high)) for s, i in sorted(found)[:k]]
 
 
 def search_cell(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
@@ -112,15 +148,11 @@ def search_cell(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     for dims, (query_ids, numbers, places) in by_length.items():
         if dims not in vertical:
             continue
-        ids, columns, _ = vertical[dims]
-        exact = dims * np.abs(columns).max(initial=0) * np.abs(numbers).max(initial=0) < EXACT_FLOAT
-        rest = [np.sqrt((columns[s:] ** 2).sum(axis=0)) for s in range(0, dims, BLOCK)] if exact else []
-        for j, query_id in enumerate(query_ids):
-            if exact:
-                found, scores = search_block(numbers[:, j], query_id, ids, columns, rest, k)
-            else:
-                found, scores = _search_large(numbers[:, j], query_id, ids, columns, k)
-            found_rows += [(keys[places[j]], int(query_id), int(i), int(s)) for i, s in zip(found, scores)]
+        candidates_of_length = Candidates(*vertical[dims][:2])
+        # queries of one size after the other meet the same cut
+        for j in np.argsort(np.abs(numbers).max(axis=0), kind="stable"):
+            found = candidates_of_length.search(numbers[:, j], query_ids[j], k)
+            found_rows += [(keys[places[j]], int(query_ids[j]), i, s) for i, s in found]
     columns = list(zip(*found_rows)) or [()] * 4
     return pa.table({f: pa.array(c, pa.int64()) for f, c in zip(("query_row", "query_id", "vec_id", "score"), columns)})
 

@@ -95,6 +95,23 @@ def test_top_k_large_numbers_stay_exact(spark):
     assert [r.vec_id for r in got] == [1, 2, 3]
 
 
+def test_large_vectors_cost_only_their_own_pairs():
+    """Whole-number scores by brute force; few pairs take the slow path."""
+    rng = np.random.default_rng(4)
+    numbers = np.floor(rng.normal(size=(16, 3000)) * 256)
+    numbers[:, 5] *= 2.0**60
+    numbers[3, 9], numbers[:, 11] = -1e200, 0.0
+    ids = rng.permutation(3000).astype(np.int64)
+    candidates = topk.Candidates(ids, numbers)
+    whole = [[int(x) for x in numbers[:, j]] for j in range(3000)]
+    for j in (0, 1, 5, 9, 11, 40):
+        got = candidates.search(numbers[:, j], ids[j], 5)
+        best = sorted((-sum(a * b for a, b in zip(whole[j], w)), int(i)) for i, w in zip(ids, whole) if i != ids[j])[:5]
+        assert got == [(i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in best]
+        if j not in (5, 9):
+            assert len(candidates.large) <= 2
+
+
 # ---- 3: mixing
 
 
