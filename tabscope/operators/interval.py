@@ -13,7 +13,7 @@ Bins that hold more rows than meant (many equal points, or many intervals that s
 together) are split: each row of the large side takes one share, and the other side goes
 to all of them. With ``keys`` the rows must also be equal in them; then levels coarser
 than a bin keep long intervals of small keys from spreading over all bins, and Spark's
-skew join splits the partitions of hot keys.
+skew join splits the partitions of hot keys. Neither side is ever broadcast.
 
 Only quantiles and counts per bin come back to the driver (at most ``MOST_BINS`` each).
 """
@@ -198,7 +198,8 @@ def interval_join(
     below = col(value) <= col(high) if closed in ("right", "both") else col(value) < col(high)
     if unbounded:
         above, below = above | col(low).isNull(), below | col(high).isNull()
-    met = left.join(right, [*keys, "_level", "_cell", "_share", "_copy"]).where(above & below)
+    # Spark's estimates do not know how often explode repeats a row: by them it would broadcast a side of any size
+    met = left.join(right.hint("merge"), [*keys, "_level", "_cell", "_share", "_copy"]).where(above & below)
     names = [c for c in points.columns if c != "_id"] + [c for c in intervals.columns if c not in keys]
     if how == "inner":
         return met.select(*map(col, names))

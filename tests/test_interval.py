@@ -127,3 +127,12 @@ def test_hot_values_are_shared_out(spark):
     intervals = spark.range(300).selectExpr("id as q", "if(id % 2 = 0, 7.0d, cast(id as double)) as a", "if(id % 2 = 0, 7.0d, cast(id as double)) + 1 as b")
     joined = interval_join(points, intervals, "x", "a", "b", rows_per_bin=50)
     assert joined.count() == 2_000 * 150 + sum(1 for q in range(1, 300, 2) for x in (q, q + 1) if x % 2 and x < q + 1) + 2_000 * 1 + 150 * 1
+
+
+def test_no_side_is_broadcast(spark):
+    """Estimates do not count how often a row is sent to cells, so size thresholds must not choose the join."""
+    points = spark.range(500).selectExpr("id as p", "cast(id as double) as x", "cast(id + 3 as double) as y")
+    intervals = spark.range(90).selectExpr("id as q", "cast(id * 2 as double) as a", "cast(id * 2 + 5 as double) as b")
+    joined = overlap_join(points, intervals, ("x", "y"), ("a", "b"), rows_per_bin=50)
+    assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+    assert joined.count() == sum(x <= 2 * q + 5 and 2 * q <= x + 3 for x in range(500) for q in range(90))
