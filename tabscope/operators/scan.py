@@ -13,9 +13,9 @@ order, number), at most about ``SAMPLE_ROWS`` rows of four whole numbers.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,28 +52,31 @@ class Parts(NamedTuple):
         return hashed.isin(list(self.borders)) if self.borders else F.lit(False)
 
     def part(self, hashed: Column, order: Column, number: Column) -> Column:
-        """The part of a row: how many borders of its key are at or before it."""
-        found = F.lit(0)
-        place = F.struct(order.alias("o"), number.alias("n"))
-        for key, borders in self.borders.items():
-            found = F.when(hashed == key, _search(place, borders)).otherwise(found)
-        return found
-
-
-def _search(place: Column, borders: list[tuple[int, int]]) -> Column:
-    """Binary search in a literal array, which is one string in the plan."""
-    steps = 1 << len(borders).bit_length()
-    padded = borders + [(2**63 - 1, 2**63 - 1)] * (steps - 1 - len(borders))
-    text = F.split(F.lit(",".join(f"{o}:{n}" for o, n in padded)), ",")
-    array = F.transform(
-        text,
-        lambda s: F.struct(
-            F.substring_index(s, ":", 1).cast("bigint").alias("o"), F.substring_index(s, ":", -1).cast("bigint").alias("n")
-        ),
-    )
-    powers = F.array(*[F.lit(1 << b) for b in reversed(range(steps.bit_length() - 1))])
-    found = F.aggregate(powers, F.lit(0), lambda i, s: F.when(F.element_at(array, i + s) <= place, i + s).otherwise(i))
-    return F.least(found, F.lit(len(borders)))
+        """The part of a row: how many borders, of all keys by (hash, order, number), are at or before it.
+
+        The borders before a key's own are the same for all its rows.
+        """
+        borders = sorted((key, *place) for key, places in self.borders.items() for place in places)
+        if not borders:
+            return F.lit(0)
+        steps = 1 << len(borders).bit_length()
+        hashes, orders, numbers = map(_array, zip(*borders, *[(2**63 - 1,) * 3] * (steps - 1 - len(borders))))
+
+        def before(at: Column) -> Column:
+            h, o, n = (F.element_at(a, at) for a in (hashes, orders, numbers))
+            return (h < hashed) | ((h == hashed) & ((o < order) | ((o == order) & (n <= number))))
+
+        powers = F.array(*[F.lit(1 << b) for b in reversed(range(steps.bit_length() - 1))])
+        found = F.aggregate(powers, F.lit(0), lambda i, s: F.when(before(i + s), i + s).otherwise(i))
+        return F.least(found, F.lit(len(borders)))
+
+
+def _array(values: tuple[int, ...]) -> Column:
+    """A literal array as one string of the plan, which Spark cuts and casts once, while planning.
+
+    It does so with ``split`` and ``cast``, but not with ``transform``: that ran for each row and step.
+    """
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def find_parts(rows: DataFrame, hashed: str, order: str, number: str, part_rows: int = PART_ROWS) -> Parts:
@@ -84,12 +87,17 @@ def find_parts(rows: DataFrame, hashed: str, order: str, number: str, part_rows:
         return Parts({})
     share = min(1.0, SAMPLE_ROWS / n)
     size = max(int(part_rows * share), LEAST_SAMPLED)
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
     sample = (narrow if share == 1.0 else narrow.sample(share, seed=1)).toArrow()
-    for key, *place in zip(*(sample.column(c).to_pylist() for c in (hashed, order, number))):
-        found[key].append(tuple(place))
+    keys, orders, numbers = (sample.column(c).to_numpy() for c in (hashed, order, number))
+    by = np.lexsort((numbers, orders, keys))
+    found, starts, counts = np.unique(keys[by], return_index=True, return_counts=True)
     # cut where a part is full; a part of up to twice the size stays whole
-    return Parts({k: sorted(places)[size::size] for k, places in found.items() if len(places) >= 2 * size})
+    hot = counts >= 2 * size
+    borders = {}
+    for key, start, count in zip(found[hot].tolist(), starts[hot], counts[hot]):
+        at = by[start : start + count][size::size]
+        borders[key] = list(zip(orders[at].tolist(), numbers[at].tolist()))
+    return Parts(borders)
 
 
 def running(

@@ -82,6 +82,20 @@ def test_parts_are_bounded(spark):
         last = r.p
 
 
+def test_borders_are_cut_once(spark):
+    """The borders are arrays of the plan: no row takes them apart again. Several keys are hot."""
+    rows = spark.range(6_000).select((F.col("id") % 3).alias("h"), F.expr("id div 600").alias("o"), F.xxhash64("id").alias("n"))
+    parts = find_parts(rows, "h", "o", "n", 200)
+    assert sorted(parts.borders) == [0, 1, 2]
+    placed = rows.withColumn("p", parts.part(F.col("h"), F.col("o"), F.col("n")))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert not any(f in plan for f in ("split(", "transform(", "substring_index("))
+    first = {}
+    for r in placed.collect():
+        want = sum(border <= (r.o, r.n) for border in parts.borders[r.h])
+        assert r.p - want == first.setdefault(r.h, r.p - want)
+
+
 def test_wrong_calls(spark):
     df = spark.createDataFrame([("a", 1, 2.0, "x")], "k string, t int, v double, s string")
     with pytest.raises(ValueError, match="rename"):
