@@ -15,6 +15,9 @@ to all of them. With ``keys`` the rows must also be equal in them; then levels c
 than a bin keep long intervals of small keys from spreading over all bins, and Spark's
 skew join splits the partitions of hot keys. Neither side is ever broadcast.
 
+Where only counts and sums over the pairs are asked for, ``interval_totals`` makes no pairs:
+their number grows with the product of the sides.
+
 Only quantiles and counts per bin come back to the driver (at most ``MOST_BINS`` each).
 """
 
@@ -25,8 +28,9 @@ import os
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, DecimalType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 from tabscope.functions.names import col
 from tabscope.session import scratch_path
@@ -123,9 +127,7 @@ def interval_join(
         raise ValueError(f"rename the columns {sorted(clash)} of one side")
     if how not in ("inner", "left") or closed not in ("left", "right", "both", "neither"):
         raise ValueError(f"unknown kind of join: {how}, {closed}")
-    kinds = [points.schema[value].dataType, intervals.schema[low].dataType, intervals.schema[high].dataType]
-    if len({"number" if isinstance(k, NumericType) else k.simpleString() for k in kinds}) > 1:
-        raise ValueError(f"points and ends are of different types: {[k.simpleString() for k in kinds]}")
+    kinds = _kinds(points, intervals, value, low, high)
     if how == "left":
         points = _numbered(points)
 
@@ -209,6 +211,13 @@ def interval_join(
     return met.select(*map(col, names)).unionByName(alone.select(*own, *nothing))
 
 
+def _kinds(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str) -> list[DataType]:
+    kinds = [points.schema[value].dataType, intervals.schema[low].dataType, intervals.schema[high].dataType]
+    if len({"number" if isinstance(k, NumericType) else k.simpleString() for k in kinds}) > 1:
+        raise ValueError(f"points and ends are of different types: {[k.simpleString() for k in kinds]}")
+    return kinds
+
+
 def _numbered(points: DataFrame) -> DataFrame:
     """``points`` with a number per row, written so that every use sees the same numbers."""
     spark = points.sparkSession
@@ -230,6 +239,93 @@ def _line(points: DataFrame, x: Column, rows_per_bin: int) -> Line:
     return Line(sorted(set(found) - {least}), least, most)
 
 
+def interval_totals(
+    points: DataFrame,
+    intervals: DataFrame,
+    value: str,
+    low: str,
+    high: str,
+    by: list[str],
+    count: str,
+    sums: dict[str, str],
+    closed: str = "left",
+    rows_per_bin: int = ROWS_PER_BIN,
+) -> DataFrame:
+    """Totals of ``interval_join`` for each ``by`` of the intervals, without its pairs.
+
+    Columns are ``by``, ``count`` (the number of pairs) and ``sums``, which maps new names to
+    columns of the points: whole numbers or decimals, since floating sums would not be exact.
+    Sums are decimals; nulls do not count, and the sum of nothing but nulls is null. Groups
+    without a pair are left out. Null and wrong ends, types and ``closed`` are as there.
+
+    What an interval holds is what the points before its end have more than those before
+    its start. Points of one value are one row. Ends lie among them in quantile bins, where
+    a window adds up; the totals of the bins before are added. In bins with many ends, each
+    end takes one share, and the points go to all of them. So the work grows with the rows.
+    """
+    if closed not in ("left", "right", "both", "neither"):
+        raise ValueError(f"unknown kind of join: {closed}")
+    if len({*by, count, *sums}) < len(by) + 1 + len(sums):
+        raise ValueError("totals need names of their own")
+    if wrong := [c for c in sums.values() if not isinstance(points.schema[c].dataType, (IntegralType, DecimalType))]:
+        raise ValueError(f"no exact sums of {wrong}")
+    kinds = _kinds(points, intervals, value, low, high)
+
+    # what is added up: pairs, and for each sum its values and those that are not null
+    scales = [getattr(points.schema[c].dataType, "scale", 0) for c in sums.values()]
+    parts = [F.count("*").cast("decimal(38,0)").alias("_t0")]
+    for i, (source, scale) in enumerate(zip(sums.values(), scales)):
+        parts += [F.count(col(source)).cast("decimal(38,0)").alias(f"_t{2 * i + 1}")]
+        parts += [F.coalesce(F.sum(col(source).cast(f"decimal(38,{scale})")), F.lit(0).cast(f"decimal(38,{scale})")).alias(f"_t{2 * i + 2}")]
+    names = [f"_t{i}" for i in range(len(parts))]
+    spark = points.sparkSession
+    path = scratch_path(spark, "totals")
+    points.where(col(value).isNotNull()).groupBy(col(value).alias("_value")).agg(*parts).write.parquet(path)
+    at = spark.read.parquet(path)
+
+    # points have place 1 at their value: an end at 0 comes before those of equal value, one at 2 after them
+    held = intervals.where(col(low) <= col(high) if closed == "both" else col(low) < col(high))
+    keys = [col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    first, last = (0 if closed in ("left", "both") else 2), (2 if closed in ("right", "both") else 0)
+    line = _line(at, _number(F.col("_value"), kinds[0]), rows_per_bin)
+    bins = len(line.borders) + 1
+    both_ends = [
+        F.struct(col(end).alias("_value"), F.lit(place).alias("_place"), F.lit(sign).alias("_sign"))
+        for end, place, sign in ((low, first, -1), (high, last, 1))
+    ]
+    ends = held.select(*keys, F.inline(F.array(*both_ends)))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bin", line.bin(_number(F.col("_value"), rows.schema["_value"].dataType)))
+
+    counted = {r["_bin"]: r["n"] for r in binned(ends).groupBy("_bin").agg(F.count("*").alias("n")).collect()}
+    share = F.element_at(_array(_shares(counted, bins, 4 * rows_per_bin)), (F.col("_bin") + 1).cast("int"))
+    # the number comes before the bin: Spark 4.1 fails where it moves the search for a bin below a union
+    both = at.withColumn("_place", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    both = binned(both.withColumn("_row", F.xxhash64(F.monotonically_increasing_id())))
+    all_or_one = F.when(F.col("_sign").isNull(), F.sequence(F.lit(1).cast("bigint"), share)).otherwise(F.array(F.pmod("_row", share) + 1))
+    both = both.withColumn("_share", F.explode(all_or_one))
+    inside = W.partitionBy("_bin", "_share").orderBy("_value", "_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = both.select("_bin", "_sign", *[f"_by{i}" for i in range(len(by))], *[F.sum(t).over(inside).alias(t) for t in names])
+
+    # one row a bin, so the window over all of them and the broadcast are small
+    totals = spark.range(bins).select(F.col("id").alias("_bin")).join(binned(at).groupBy("_bin").agg(*[F.sum(t).alias(t) for t in names]), "_bin", "left")
+    earlier = W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select("_bin", *[F.sum(t).over(earlier).alias(f"{t}_before") for t in names])
+    found = summed.where(F.col("_sign").isNotNull()).join(F.broadcast(carried), "_bin", "left")
+
+    nothing = [F.lit(0).cast(at.schema[t].dataType) for t in names]
+    before = [F.coalesce(F.col(t), z) + F.coalesce(F.col(f"{t}_before"), z) for t, z in zip(names, nothing)]
+    groups = found.groupBy(*[f"_by{i}" for i in range(len(by))]).agg(
+        *[F.sum(F.when(F.col("_sign") > 0, b).otherwise(-b).cast(at.schema[t].dataType)).alias(t) for t, b in zip(names, before)]
+    )
+    return groups.where(F.col("_t0") > 0).select(
+        *[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)],
+        F.col("_t0").cast("bigint").alias(count),
+        *[F.when(F.col(f"_t{2 * i + 1}") > 0, F.col(f"_t{2 * i + 2}")).alias(name) for i, name in enumerate(sums)],
+    )
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,

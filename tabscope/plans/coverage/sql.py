@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.asof import asof_join
-from tabscope.operators.interval import interval_join, overlap_join
+from tabscope.operators.interval import interval_join, interval_totals, overlap_join
 from tabscope.operators.sample import exact_sample
 from tabscope.operators.scan import running
 from tabscope.plans.coverage.registry import register, register_sql, table, table_path
@@ -167,8 +167,8 @@ def sql_join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_totalprice * 0.2 + CASE WHEN o_orderkey % 1000 = 0 THEN 2000 ELSE (o_orderkey % 7) * 0.5 END AS high",
     )
     lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_quantity").cast("decimal(18,2)"))
-    pairs = interval_join(lines, orders, "l_extendedprice", "low", "high")
-    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("qty"))
+    totals = interval_totals(lines, orders, "l_extendedprice", "low", "high", ["o_orderkey"], "n", {"qty": "l_quantity"})
+    return totals.withColumn("qty", F.col("qty").cast("double"))
 
 
 @register(

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators.interval import interval_join, overlap_join
+from tabscope.operators.interval import interval_join, interval_totals, overlap_join
 
 def holds(x, a, b, closed):
     above = a is None or (x >= a if closed in ("left", "both") else x > a)
@@ -136,3 +136,39 @@ def test_no_side_is_broadcast(spark):
     joined = overlap_join(points, intervals, ("x", "y"), ("a", "b"), rows_per_bin=50)
     assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
     assert joined.count() == sum(x <= 2 * q + 5 and 2 * q <= x + 3 for x in range(500) for q in range(90))
+
+
+@pytest.mark.parametrize("closed", ["left", "right", "both", "neither"])
+@pytest.mark.parametrize("rows_per_bin", [4, 65_536])
+def test_totals_are_those_of_the_pairs(spark, closed, rows_per_bin):
+    rng = random.Random(rows_per_bin)
+    xs = uneven(rng, 400) + [float("nan")] * 2 + [0.0, -0.0]
+    points = [(x, rng.choice([None, 3, 10**18, -7]), rng.choice([None, 1])) for x in xs]
+    ends = spans(rng, 150) + [(5.0, 6.0)] * 60 + [(0.0, 0.0), (-0.0, 0.0), (0.0, float("nan")), (float("nan"), float("nan"))]
+    left = spark.createDataFrame(points, "x double, v long, w long").withColumn("w", F.col("w").cast("decimal(9,2)") / 4).repartition(5)
+    right = spark.createDataFrame([(rng.choice([None, *range(40)]), *e) for e in ends], "g int, a double, b double")
+    pairs = interval_join(left, right, "x", "a", "b", closed=closed)
+    want = pairs.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v"), F.sum("w").alias("w"))
+    got = interval_totals(left, right, "x", "a", "b", ["g"], "n", {"v": "v", "w": "w"}, closed, rows_per_bin)
+    assert got.columns == ["g", "n", "v", "w"]
+    assert {r.g: tuple(r) for r in got.collect()} == {r.g: tuple(r) for r in want.collect()}
+
+
+def test_totals_make_no_pairs(spark):
+    """A billion pairs of 60,000 rows: pairs one by one took longer than any test may."""
+    points = spark.range(30_000).selectExpr("id % 10000 as x", "id as v")
+    intervals = spark.range(30_000).selectExpr("id % 7 as g", "id % 2 as a", "10000 as b")
+    got = {r.g: (r.n, r.s) for r in interval_totals(points, intervals, "x", "a", "b", ["g"], "n", {"s": "v"}, rows_per_bin=500).collect()}
+    start = {a: (3 * (10_000 - a), sum(v for v in range(30_000) if v % 10_000 >= a)) for a in (0, 1)}
+    many = {g: [sum(1 for q in range(g, 30_000, 7) if q % 2 == a) for a in (0, 1)] for g in range(7)}
+    assert got == {g: tuple(sum(many[g][a] * start[a][k] for a in (0, 1)) for k in (0, 1)) for g in range(7)}
+    assert interval_totals(points, intervals.limit(0), "x", "a", "b", ["g"], "n", {}).collect() == []
+    assert interval_totals(points.limit(0), intervals, "x", "a", "b", ["g"], "n", {}).collect() == []
+    with pytest.raises(ValueError, match="no exact sums"):
+        interval_totals(points.withColumn("v", F.lit(1.0)), intervals, "x", "a", "b", ["g"], "n", {"s": "v"})
+
+
+def test_interval_query_makes_no_pairs(spark, sf_dir):
+    from tabscope.plans.coverage import QUERIES
+
+    assert "_level" not in plan(QUERIES["sql_join_interval"](spark, sf_dir))
