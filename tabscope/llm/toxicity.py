@@ -7,12 +7,12 @@ inverse document frequency over all documents, and the square root of the chi-sq
 which its presence goes with the label in the examples: what tells nothing about the
 label moves a vector little, and no term is cut off.
 
-Examples lie in an inverted index of blocks: a term's postings are runs, one for each
-block that has it, with the greatest weight of the run. Those of a frequent term are
-written out, a number for each entry, and summed first, for many texts together. What
-they give the k-th entry is a lower bound of the k-th similarity; a block whose greatest
-sum, with the weights of its runs' maxima, stays below it cannot hold a nearest example,
-and its postings are not read. So the search is exact. Examples
+Examples lie in an inverted index by term. The postings of a frequent term are written
+out, a number for each entry, and summed for many texts together; those of the others
+are summed text by text. All are summed, so the search is exact. (Bounds of blocks of
+128 of the at most 4,000 entries excluded half of the postings, but took longer than
+the postings that they saved.) Texts are cut together, and the terms of each of their
+distinct words are looked up once. Examples
 with equal vectors are one entry with several votes, so copies and ties are all counted.
 Votes are scaled back to the shares of the labels in the whole labelled table, as
 examples are drawn evenly from both labels. Words that no example has meet no posting:
@@ -30,11 +30,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -44,9 +46,8 @@ from tabscope.llm.simhash import set_links, shingle_hashes
 
 #: Examples of each label (the bound of the fit), and neighbours.
 EXAMPLES, NEIGHBOURS = 2_000, 15
-#: Entries of an index block. A term that more than one in ``DENSE`` entries have is
-#: frequent. Texts searched together.
-BLOCK, DENSE, TOGETHER = 128, 20, 128
+#: A term that more than one in ``DENSE`` entries have is frequent. Texts searched together.
+DENSE, TOGETHER = 20, 128
 #: Weight of the prior share among the votes; power of similarities.
 PRIOR, SHARPNESS = 0.05, 8
 #: Lengths of word beginnings that count as terms.
@@ -54,8 +55,8 @@ STEMS = (4, 5)
 #: Words of a shingle, and the least similarity of the shingle sets of near copies.
 COPY_WORDS, COPY_LEAST = 5, 0.8
 MARKS = ".,;:!?\"'()[]{}<>*_-"
-#: Words and scored texts that a worker remembers; more only start it afresh.
-REMEMBERED, SCORED = 400_000, 20_000
+#: Characters of texts that are cut together, about. Scored texts that a worker remembers; more only start it afresh.
+TOGETHER_CHARS, SCORED = 4_000_000, 20_000
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -125,30 +126,25 @@ class Index:
     evidence: np.ndarray  # an example id of each entry
     share: float
 
-    def __post_init__(self):
+    @cached_property
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the search reads, made where it runs: the rows alone are larger than all postings."""
         n = len(self.evidence)
-        self.blocks = -(-n // BLOCK)
-        # postings of a frequent term: a full row in each block
+        # postings of a frequent term: a full row
         many = np.diff(self.starts)
         often = many * DENSE > n
         term = np.repeat(np.arange(len(many)), many)
-        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        row = np.where(often, np.cumsum(often) - 1, -1)
         full = often[term]
-        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
-        self.rows[self.row[term[full]], self.owner[full]] = self.value[full]
-        # postings of the others: a run for each block that has the term
-        self.rare_owner, self.rare, term = self.owner[~full], self.value[~full], term[~full]
-        block = self.rare_owner // BLOCK
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        self.run_start = np.flatnonzero(new)
-        self.run_size = np.diff(self.run_start, append=len(block))
-        self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.rare, self.run_start) if len(block) else self.rare
-        self.term_runs = np.searchsorted(term[self.run_start], np.arange(len(self.weights) + 1))
+        rows = np.zeros((int(often.sum()), n))
+        rows[row[term[full]], self.owner[full]] = self.value[full]
+        # those of the others; indices of numpy's own width are not converted at each use
+        rare_owner, rare = self.owner[~full].astype(np.intp), self.value[~full]
+        rare_starts = np.concatenate([[0], np.cumsum(np.where(often, 0, many))])
+        return row, rows, rare_owner, rare, rare_starts
 
     def __reduce__(self):
-        # rows and runs are made anew from the postings, which are much smaller
+        # the layout is made anew from the postings, which are much smaller
         return Index, tuple(getattr(self, f.name) for f in fields(self))
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -156,11 +152,12 @@ class Index:
 
     def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The similarity of each query to each entry by frequent terms alone."""
-        dense = np.zeros((len(queries), len(self.rows)))
+        row_of, rows, *_ = self.layout
+        dense = np.zeros((len(queries), len(rows)))
         for q, (places, weights) in zip(dense, queries):
-            row = self.row[places]
+            row = row_of[places]
             q[row[row >= 0]] = weights[row >= 0]
-        return dense @ self.rows
+        return dense @ rows
 
     def nearest(self, places: np.ndarray, query: np.ndarray, k: int, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries and similarities of the k nearest and of all that tie with the k-th.
@@ -168,17 +165,13 @@ class Index:
         ``sims`` is the query's row of ``frequent``, which is completed. Entries that share
         no term with the query are not among the nearest.
         """
-        first = self.term_runs[places]
-        sizes = self.term_runs[places + 1] - first
-        runs, weights = _ranges(first, sizes), np.repeat(query, sizes)
-        blocks = self.run_block[runs]
-        bounds = sims.reshape(-1, BLOCK).max(axis=1, initial=0.0) + np.bincount(blocks, weights * self.run_max[runs], self.blocks)
-        # no weight is negative: what is known of the k-th nearest already bounds it below
-        inside = (bounds >= kth(sims, k) - 1e-9)[blocks]
-        found = runs[inside]
-        many = self.run_size[found]
-        at = _ranges(self.run_start[found], many)
-        sims += np.bincount(self.rare_owner[at], np.repeat(weights[inside], many) * self.rare[at], len(sims))
+        *_, owner, value, starts = self.layout
+        first = starts[places]
+        sizes = starts[places + 1] - first
+        rare = sizes > 0
+        first, sizes = first[rare], sizes[rare]
+        at = _ranges(first, sizes)
+        sims += np.bincount(owner[at], np.repeat(query[rare], sizes) * value[at], len(sims))
         near = np.flatnonzero((sims >= kth(sims, k) - 1e-9) & (sims > 0))
         return near, sims[near]
 
@@ -213,45 +206,73 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / size if size else v
 
 
+def _strings(values: Iterable[str]) -> pa.Array:
+    # what is no valid text meets no word
+    return pa.array([v.encode("utf-8", "surrogatepass") for v in values], pa.large_binary()).cast(pa.large_string(), safe=False)
+
+
 class Memory:
-    """The places of the terms of words seen: a worker cuts each distinct word once."""
+    """The places of terms. Many texts are cut together, and each of their distinct words is looked up once."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.last = terms, np.zeros(len(terms), np.int64)
-        self.forget()
-
-    def forget(self):
-        self.rows: dict[str, int] = {}
-        self.known = 1  # row 0 is of words without a known term
-        self.places = np.full((4096, 1 + len(STEMS)), -1)
-
-    def row(self, word: str) -> int:
-        found = [self.terms[t] for t in word_terms(word) if t in self.terms]
-        at = 0
-        if found:
-            at, self.known = self.known, self.known + 1
-            if at >= len(self.places):
-                self.places = np.concatenate([self.places, np.full_like(self.places, -1)])
-            self.places[at, : len(found)] = found
-        self.rows[word] = at
-        return at
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The places of a text's terms, and how often each comes."""
-        if len(self.rows) > REMEMBERED:
-            self.forget()
-        words, rows = Counter(text.lower().split()), self.rows
-        at = np.array([rows[w] if w in rows else self.row(w) for w in words], np.int64)
-        many = np.fromiter(words.values(), np.float64, len(words))[at > 0]
-        places = self.places[at[at > 0]]
-        known = places >= 0
-        many, places = np.broadcast_to(many[:, None], places.shape)[known], places[known]
-        # of equal places one is left: the last that wrote its number
+        self.terms, self.none = terms, len(terms)  # none: the place of an unknown term
+        self.last = np.zeros(len(terms) + 1, np.int64)
+        # (length of the beginning or None, what is looked up, its places); a beginning goes without its mark
+        stems = [(k, {t[:-1]: at for t, at in terms.items() if len(t) == k + 1 and t[-1] == "~"}) for k in STEMS]
+        self.known = [(k, _strings(found), np.array([*found.values(), self.none])) for k, found in [(None, terms), *stems]]
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The places of each word's terms (``word_terms``), with ``none`` for unknown ones."""
+        bare = pc.utf8_trim(words, MARKS)
+        size = pc.utf8_length(bare)
+        columns = []
+        for k, found, places in self.known:
+            at = pc.index_in(bare if k is None else pc.utf8_slice_codeunits(bare, 0, k), value_set=found)
+            if k is not None:
+                at = pc.if_else(pc.greater(size, k), at, None)
+            columns.append(places[at.fill_null(len(found)).to_numpy(zero_copy_only=False)])
+        return np.stack(columns, axis=1)
+
+    def cut(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The places of the terms of each text, as often as they come, unknown ones too."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text.lower().split())
+            size += len(text)
+            if size > TOGETHER_CHARS:
+                yield from self._cut(group)
+                group, size = [], 0
+        yield from self._cut(group)
+
+    def _cut(self, group: list[list[str]]) -> Iterator[np.ndarray]:
+        words = pa.array([w for text in group for w in text], pa.large_string()).dictionary_encode()
+        rows, codes, start = self.rows(words.dictionary), words.indices.to_numpy(), 0
+        for text in group:
+            end = start + len(text)
+            yield rows.take(codes[start:end], axis=0).ravel()
+            start = end
+
+    def own(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of equal places the last one is left. Also the number of the last for each."""
         number = np.arange(len(places))
         self.last[places] = number
         last = self.last[places]
-        own = last == number
-        return places[own], np.bincount(last, many, len(places))[own]
+        return last == number, last
+
+    def distinct(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The places of each text's terms, maybe with ``none``."""
+        for places in self.cut(texts):
+            yield places[self.own(places)[0]]
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.all_counts([text]))
+
+    def all_counts(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places of each text's terms, and how often each comes."""
+        for places in self.cut(texts):
+            places = places[places < self.none]
+            own, last = self.own(places)
+            yield places[own], np.bincount(last, minlength=len(places))[own].astype(np.float64)
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, each: int) -> DataFrame:
@@ -287,17 +308,14 @@ def build(
     ``frequencies`` gives the number of documents, and of those with each term.
     """
     share = pos / n if n else 0.0
-    counted = [terms_of(t) for _, _, t in examples]
     terms: dict[str, int] = {}
-    for c in counted:
-        for t in c:
-            terms.setdefault(t, len(terms))
-    total, with_term = frequencies(terms)
     sparse = []
-    for c in counted:
-        at = np.fromiter((terms[t] for t in c), np.int64, len(c))
+    for _, _, text in examples:  # one text's words at a time: those of all texts fill the driver
+        c = terms_of(text)
+        at = np.fromiter((terms.setdefault(t, len(terms)) for t in c), np.int64, len(c))
         order = np.argsort(at)
         sparse.append((at[order], np.fromiter(c.values(), np.float64, len(c))[order]))
+    total, with_term = frequencies(terms)
     # only one of several near copies with one label speaks for a term
     distinct = distinct_examples([(t, y) for _, y, t in examples])
     told = relevance([(at, y) for (at, _), (_, y, _) in zip(sparse, examples)], distinct, len(terms))
@@ -311,7 +329,7 @@ def build(
         if len(at):
             e = entries.setdefault(at.tobytes() + v.tobytes(), [at, v, 0.0, 0.0, id_])
             e[3 - y] += up[y]
-    # entries of one strongest term lie together, so a block has few strong terms
+    # entries of one strongest term lie together
     kept = sorted(entries.values(), key=lambda e: (e[0][e[1].argmax()], -e[1].max(), e[4]))
     sizes = np.array([len(e[0]) for e in kept], np.int64)
     term = np.concatenate([e[0] for e in kept]) if kept else np.zeros(0, np.int64)
@@ -330,12 +348,12 @@ def document_counts(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[
 
     def run(batches):
         memory = memory_of(shared.value)
-        found, n = np.zeros(len(memory.terms), np.int64), 0
+        found, n = np.zeros(memory.none + 1, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for t in texts(batch, text):
-                found[memory.counts(t)[0]] += 1
-        at = np.flatnonzero(found)
+            for places in memory.distinct(texts(batch, text)):
+                found[places] += 1
+        at = np.flatnonzero(found[:-1])
         # place -1 counts the documents
         yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "n": np.append(found[at], n)})
 
@@ -349,8 +367,8 @@ def document_counts(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[
 _MEMORY: list = [None, None]
 
 
-def memory_of(terms: dict[str, int]) -> Memory:
-    """One memory for each worker process and vocabulary; it stays warm between tasks."""
+def memory_of(terms: dict[str, int]) -> Cutter:
+    """One memory for each worker process and vocabulary; it stays between tasks."""
     if _MEMORY[0] is not terms:
         _MEMORY[:] = [terms, Memory(terms)]
     return _MEMORY[1]
@@ -375,8 +393,7 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text", neighbours
         if len(known) > SCORED:
             known.clear()
         keys, new = [], {}
-        for t in texts(batch, "_text"):
-            places, counts = memory.counts(t)
+        for places, counts in memory.all_counts(texts(batch, "_text")):
             key = hashlib.blake2b(places.tobytes() + counts.tobytes(), digest_size=16).digest()
             keys.append(key)
             if key not in known:

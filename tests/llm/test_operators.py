@@ -287,6 +287,23 @@ def test_block_max_search_is_exact():
         assert sorted(got) == pytest.approx(sorted(want))
 
 
+def test_texts_cut_together_are_cut_alike(monkeypatch):
+    """Places and counts of many texts at once against those of each text's own terms, at any size of the groups."""
+    odd = ["", " \t\n", "(Word) word, WORDS wordings w\u00f6rter W\u00d6RTERN \u0130x a\x1cb\u00a0c\u2003d", "*** -- abcd~ abcd abcde abcdef abcde~"]
+    rows = toxic_corpus(0, 60) + [(900 + i, i % 2, t) for i, t in enumerate(odd)]
+    terms = {t: i for i, t in enumerate(dict.fromkeys(t for _, _, text in rows[::2] + rows[-4:] for t in toxicity.terms_of(text)))}
+    given = [text for _, _, text in rows] + ["never seen before", "\U0001f600 wordsmith \u0130xyzzy"]
+    for size in (0, 500, 4_000_000):
+        monkeypatch.setattr(toxicity, "TOGETHER_CHARS", size)
+        memory = toxicity.Memory(terms)
+        got, distinct = list(memory.all_counts(given)), list(memory.distinct(given))
+        assert len(got) == len(distinct) == len(given)
+        for text, (places, counts), all_places in zip(given, got, distinct):
+            want = {terms[t]: n for t, n in toxicity.terms_of(text).items() if t in terms}
+            assert dict(zip(places.tolist(), counts.tolist())) == want and len(places) == len(want)
+            assert sorted(p for p in all_places.tolist() if p < len(terms)) == sorted(want)
+
+
 def test_rare_telling_words_are_found(spark):
     """A word in four examples of a thousand decides, and so does a nearly equal example."""
     rng = np.random.default_rng(3)
