@@ -307,23 +307,19 @@ def set_links(sets: list[np.ndarray], groups: list, home: np.ndarray, least: flo
     return list(zip(order[linked].tolist(), order[labels[linked]].tolist()))
 
 
-def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): links of similar shingle sets within the groups (node, root) of ``found``.
+def dealt(members: DataFrame) -> DataFrame:
+    """(node, root, _row, cell, i, j, home): the cells in which the rows of ``members`` meet.
 
-    ``texts`` has (_row, _text). Small groups share cells; the rows of a large group are
+    Small groups share cells, on average of a block's size; the rows of a large group are
     dealt to blocks, and each pair of its blocks is a cell.
     """
-    members = saved(
-        found.join(nodes.hint("merge"), found.node == nodes.fp).select("node", "root", F.col("first._row").alias("_row"), "n"),
-        "members",
-    )
     blocks = F.ceil(F.greatest(F.count("*") / CLOSE_ROWS, F.sum("n") / CLOSE_SHINGLES))
     sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), blocks.alias("blocks"))
     total = sizes.where("blocks = 1").agg(F.sum("rows"), F.sum("shingles")).first()
     buckets = max(1, math.ceil(max((total[0] or 0) / CLOSE_ROWS, (total[1] or 0) / CLOSE_SHINGLES)))
     # at most one group for each CLOSE_ROWS rows or CLOSE_SHINGLES shingles
     large = F.broadcast(sizes.where("blocks > 1").select("root", "blocks"))
-    placed = (
+    return (
         members.join(large, "root", "left")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
@@ -332,12 +328,25 @@ def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Sett
             "root",
             "_row",
             F.when(F.col("blocks").isNull(), F.lit(b"")).otherwise(F.col("root")).alias("cell"),
-            F.coalesce(F.least("block", "other"), F.pmod(F.xxhash64("root"), F.lit(buckets))).alias("i"),
+            # least passes over nulls, so the null block of a small group needs a case of its own
+            F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.least("block", "other")).alias("i"),
             F.greatest(F.lit(-1).cast("long"), F.when(F.col("blocks").isNotNull(), F.greatest("block", "other"))).alias("j"),
             (F.col("blocks").isNull() | (F.col("block") <= F.col("other"))).alias("home"),
         )
     )
 
+
+def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links of similar shingle sets within the groups (node, root) of ``found``.
+
+    ``texts`` has (_row, _text). Shingle sets meet in the cells of ``dealt``.
+    """
+    members = saved(
+        found.join(nodes.hint("merge"), found.node == nodes.fp).select("node", "root", F.col("first._row").alias("_row"), "n"),
+        "members",
+    )
+    placed = dealt(members)
+
     def sets(batch: pa.RecordBatch, _) -> dict:
         found = [np.unique(shingle_hashes(t or b"", settings.words)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
         return {"_row": batch.column(0), "shingles": found}

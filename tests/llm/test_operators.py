@@ -483,6 +483,21 @@ def test_keep_first_decides_by_shared_shingles(spark, monkeypatch, block):
     assert got == {2 * i for i in range(60)} | {2 * i + 1 for i in range(0, 60, 2)} | {200, 202, 300}
 
 
+def test_small_groups_are_dealt_to_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLOSE_ROWS", 16)
+    monkeypatch.setattr(simhash, "CLOSE_SHINGLES", 1_000)
+    rows = [(b"%d.%d" % (g, k), b"%d" % g, 10 * g + k, 10) for g in range(100) for k in range(4)]
+    rows += [(b"large.%d" % k, b"large", 10_000 + k, 10) for k in range(40)]
+    met = simhash.dealt(spark.createDataFrame(rows, "node binary, root binary, _row long, n long")).collect()
+    small = [r for r in met if r.root != b"large"]
+    assert sorted(r._row for r in small) == [r[2] for r in rows if r[1] != b"large"]  # each once
+    cells = {}
+    for r in small:
+        cells.setdefault((r.cell, r.i, r.j), []).append(bytes(r.root))
+    assert len(cells) > 15 and max(map(len, cells.values())) <= 5 * 16
+    assert len({(g, c) for c, groups in cells.items() for g in groups}) == 100  # each group in one cell
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
