@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -35,31 +36,44 @@ LONGEST = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
 MARKS = ".,;:!?\"'()[]{}<>*_-|#%&$+=/\\0123456789"
-REMEMBERED = 400_000
+#: Words that a worker remembers, and scores of them: with many languages fewer words.
+REMEMBERED, REMEMBERED_SCORES = 131_072, 1_048_576
+
+
+class Scores:
+    """Log frequencies by language, one row of a matrix for each word or n-gram.
+
+    It travels as one string and one matrix; a worker makes the row numbers of the keys.
+    """
+
+    def __init__(self, keys: list[str], matrix: np.ndarray):
+        self.matrix = matrix
+        self.rows = {k: i for i, k in enumerate(keys)}
+
+    def __reduce__(self):
+        return _scores, ("\n".join(self.rows), self.matrix)  # words of letters and marks have no line break
+
+
+def _scores(keys: str, matrix: np.ndarray) -> Scores:
+    return Scores(keys.split("\n") if len(matrix) else [], matrix)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency by language
-    grams: dict[str, np.ndarray]
-
-    def __post_init__(self):
-        self.gram_rows = {g: i for i, g in enumerate(self.grams)}
-        self.gram_scores = np.zeros((len(self.grams), len(self.languages)))
-        for row, scores in enumerate(self.grams.values()):
-            self.gram_scores[row] = scores
+    words: Scores
+    grams: Scores
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the places of a word of its longest known n-gram's log frequencies."""
-        marked, rows, found = f"^{word}$", self.gram_rows, []
+        marked, rows, found = f"^{word}$", self.grams.rows, []
         for at in range(len(marked) - 1):
             for n in range(LONGEST, 0, -1):
                 row = rows.get(marked[at : at + n])
                 if row is not None:
                     found.append(row)
                     break
-        return self.gram_scores[found].sum(axis=0) / len(found) if found else np.zeros(len(self.languages))
+        return self.grams.matrix[found].sum(axis=0) / len(found) if found else np.zeros(len(self.languages))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS, entries: int = ENTRIES) -> Model:
@@ -83,7 +97,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int = SA
             for k in range(1, LONGEST + 1):
                 if i + k <= len(marked):
                     grams[marked[i : i + k]][at[r["lang"]]] += weight
-    return Model(languages, _logs(words), _logs(grams))
+    return Model(languages, _logs(words, len(languages)), _logs(grams, len(languages)))
 
 
 def _most_frequent(counted: DataFrame, entries: int) -> list:
@@ -103,14 +117,14 @@ def _most_frequent(counted: DataFrame, entries: int) -> list:
     return counted.where(F.col("n") >= least).collect()
 
 
-def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _logs(counts: dict[str, np.ndarray], languages: int) -> Scores:
     """Smoothed log frequencies; each language counts as large as the others."""
     if not counts:
-        return {}
+        return Scores([], np.zeros((0, languages)))
     total = sum(counts.values())
     scale = total.sum() / len(total) / np.maximum(total, 1e-9)
     size = SMOOTHING * len(counts) + total.sum() / len(total)
-    return {k: np.log((v * scale + SMOOTHING) / size) for k, v in counts.items()}
+    return Scores(list(counts), np.log((np.array(list(counts.values())) * scale + SMOOTHING) / size))
 
 
 class Memory:
@@ -118,24 +132,25 @@ class Memory:
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
+        self.most = min(REMEMBERED, REMEMBERED_SCORES // max(1, len(model.languages)))
         self.scores = np.zeros((1024, len(model.languages)))
 
     def place(self, raw: str) -> int:
         bare = raw.strip(MARKS)
-        scores = self.model.words.get(bare)
-        if scores is None and not any(map(str.isalpha, bare)):
+        row = self.model.words.rows.get(bare)
+        if row is None and not any(map(str.isalpha, bare)):
             at = 0
         else:
             at = len(self.rows) + 1
             if at >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self.model.unseen(bare) if scores is None else scores
+            self.scores[at] = self.model.unseen(bare) if row is None else self.model.words.matrix[row]
         self.rows[raw] = at
         return at
 
     def places(self, words) -> np.ndarray:
         rows = self.rows
-        if len(rows) > REMEMBERED:
+        if len(rows) > self.most:
             rows.clear()
         return np.array([rows[w] if w in rows else self.place(w) for w in words], np.int64)
 
@@ -155,26 +170,31 @@ def identify(text: str, model: Model, memory: Memory | None = None) -> tuple[str
     return model.languages[best], float(1 / shares.sum())
 
 
-_MEMORY: list = [None, None]
+_MEMORY: list = []
 
 
-def memory_of(model: Model) -> Memory:
-    """One memory for each worker process and model; it stays warm between tasks."""
-    if _MEMORY[0] is not model:
-        _MEMORY[:] = [model, Memory(model)]
+def memory_of(shared: Broadcast) -> Memory:
+    """One memory for each worker process and model; it stays warm between tasks.
+
+    What was remembered for another model goes before the new one is loaded.
+    """
+    if not _MEMORY or _MEMORY[0] is not shared:
+        _MEMORY.clear()
+        _MEMORY[:] = [shared, Memory(shared.value)]
     return _MEMORY[1]
 
 
-def identify_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(``_doc``, lang_pred, score); ``_doc`` holds the columns of ``docs``."""
+def identify_languages(docs: DataFrame, model: Model, text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """(``_doc``, lang_pred, score); ``_doc`` holds the ``carried`` columns of ``docs``, by default all."""
+    names = docs.columns if carried is None else carried
     wide = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the entries of the fit
 
     def run(batch, state) -> dict:
-        found = [identify(t or "", state.model, state) for t in batch.column(1).to_pylist()]
+        found = [identify(t.as_py() or "", state.model, state) for t in batch.column(1)]
         return {"_doc": batch.column(0), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     schema = StructType([wide.schema["_doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return map_columns(wide, run, schema, lambda: memory_of(shared.value))
+    return map_columns(wide, run, schema, lambda: memory_of(shared))

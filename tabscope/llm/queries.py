@@ -157,7 +157,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(fold("doc_id", 3) != 1).select("text", "lang"))
-    found = identify_languages(docs.select("doc_id", "text"), model)
+    found = identify_languages(docs.select("doc_id", "text"), model, carried=["doc_id"])
     return found.select("_doc.doc_id", (fold("_doc.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -332,6 +334,30 @@ def test_language_falls_back_to_shorter_grams(spark):
     assert langid.identify("12 !!", model) == ("und", 0.0)
 
 
+def test_language_model_is_small_in_a_worker():
+    """A loaded model of 50,000 words and n-grams each, and all that is remembered, in 60 MB."""
+    rng = np.random.default_rng(7)
+    keys = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(50_000)]
+    counts = {k: rng.random(4) for k in keys}
+    model = langid.Model(list("abcd"), langid._logs(counts, 4), langid._logs({k[:4]: v for k, v in counts.items()}, 4))
+    sent = pickle.dumps(model)
+    tracemalloc.start()
+    memory = langid.Memory(pickle.loads(sent))
+    for start in range(0, 400_000, 4_000):
+        memory.places([f"w{x}" for x in range(start, start + 4_000)])
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert memory.model.words.rows == model.words.rows and (memory.model.grams.matrix == model.grams.matrix).all()
+    assert used < 60e6
+
+
+def test_languages_without_the_text(spark):
+    docs = spark.createDataFrame([(1, "the thing", "en"), (2, "der stein", "de"), (3, None, None)], "doc_id long, text string, lang string")
+    found = langid.identify_languages(docs, langid.fit(docs), carried=["doc_id"])
+    assert found.schema["_doc"].dataType.names == ["doc_id"]
+    assert {r._doc.doc_id: r.lang_pred for r in found.collect()} == {1: "en", 2: "de", 3: "und"}
+
+
 # ---- 6: chat
 
 
