@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,10 @@ GAP = r"[\x20\x09-\x0D]+"
 #: The same separators for ``str.split``-like work in Python; str.split() would also
 #: split at other Unicode spaces.
 SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Row numbers of a bitmap (fixed by Spark) as a power of two, and bitmaps of one broadcast:
+#: at most 4 KB each, 32 MB in all.
+BITMAP_POWER = 15
+BITMAPS = 8_192
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +56,42 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_among(table: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``_row`` is in ``numbers`` (_row), without shuffling them.
+
+    ``_row`` is monotonically_increasing_id of the table, which is written. The numbers,
+    eight bytes each, are shuffled and become bitmaps. Spans of row numbers with about
+    BITMAPS bitmaps each are read one by one, each with a broadcast of its own bitmaps, so
+    a broadcast does not grow with the table.
+    """
+    place = F.col("_row").bitwiseAND(2**BITMAP_POWER - 1)
+    bitmaps = saved(
+        # dealt by bitmap first: partial bitmaps of every task would be many times the numbers
+        numbers.select(F.shiftright("_row", BITMAP_POWER).alias("_bitmap"), place.alias("_place"))
+        .repartition("_bitmap")
+        .groupBy("_bitmap")
+        .agg(F.bitmap_construct_agg("_place").alias("_bits"), F.max("_place").alias("_last"))
+        .select("_bitmap", F.expr("substring(_bits, 1, int(_last div 8) + 1)").alias("_bits")),
+        "bitmaps",
+    )
+    spans = max(1, math.ceil(bitmaps.count() / BITMAPS))
+    cuts = []
+    if spans > 1:
+        shares = [k / spans for k in range(1, spans)]
+        cuts = sorted(set(bitmaps.agg(F.percentile_approx("_bitmap", shares, 100 * spans)).first()[0]))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    found = (F.shiftright("_row", BITMAP_POWER) == F.col("_bitmap")) & (F.getbit(byte.cast("long"), place.bitwiseAND(7).cast("int")) == 1)
+    parts = []
+    for low, high in itertools.pairwise([None, *cuts, None]):
+        rows, bits = table, bitmaps
+        if low is not None:
+            rows, bits = rows.where(F.col("_row") >= (low + 1) << BITMAP_POWER), bits.where(F.col("_bitmap") > low)
+        if high is not None:
+            rows, bits = rows.where(F.col("_row") < (high + 1) << BITMAP_POWER), bits.where(F.col("_bitmap") <= high)
+        parts.append(rows.join(F.broadcast(bits), found, "left_semi"))
+    return reduce(DataFrame.union, parts)
+
+
 def map_columns(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], Iterator[dict]],

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tabscope.llm.common import map_columns, saved
+from tabscope.llm.common import map_columns, rows_among, saved
 from tabscope.llm.components import components
 from tabscope.session import small_frame
 
@@ -339,7 +339,8 @@ def dealt(members: DataFrame) -> DataFrame:
 def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): links of similar shingle sets within the groups (node, root) of ``found``.
 
-    ``texts`` has (_row, _text). Shingle sets meet in the cells of ``dealt``.
+    ``texts`` has (_row, _text); only those of the groups leave their tasks, as shingle
+    sets, which meet in the cells of ``dealt``.
     """
     members = saved(
         found.join(nodes.hint("merge"), found.node == nodes.fp).select("node", "root", F.col("first._row").alias("_row"), "n"),
@@ -351,8 +352,8 @@ def similar(found: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Sett
         found = [np.unique(shingle_hashes(t or b"", settings.words)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
         return {"_row": batch.column(0), "shingles": found}
 
-    wanted = members.select("_row").hint("merge")
-    hashed = map_columns(texts.join(wanted, "_row", "left_semi").select("_row", "_text"), sets, "_row long, shingles binary", rows=256)
+    wanted = rows_among(texts, members.select("_row")).select("_row", "_text")
+    hashed = map_columns(wanted, sets, "_row long, shingles binary", rows=256)
     sent = placed.join(hashed.hint("merge"), "_row").select("cell", "i", "j", "home", "node", "root", "shingles")
 
     def run(cell: pa.Table) -> pa.Table:
@@ -406,7 +407,7 @@ def keep_first(docs: DataFrame, settings: Settings = NEAR_COPIES, id_col: str =
     """One row of each component of ``docs``: the least id, then the first such row.
 
     Fingerprints are written next to the rows and read alone for the comparison; rows
-    come back by row number, which no group of copies can make hot.
+    are picked where they lie, by row number, which no group of copies can make hot.
     """
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
@@ -417,5 +418,4 @@ def keep_first(docs: DataFrame, settings: Settings = NEAR_COPIES, id_col: str =
     rows = saved(fingerprints(wide, ["_doc", "_id", "_row"], "_text", settings), "simhash")
     texts = rows.select("_row", F.col("_doc").getField(text).cast("string").alias("_text"))
     first = labelled(rows, ["_id", "_row"], settings, texts).select(F.col("first._row").alias("_row")).distinct()
-    # one plan at every size: a broadcast of row numbers would only suit small tables
-    return rows.join(first.hint("merge"), "_row", "left_semi").select("_doc.*")
+    return rows_among(rows, first).select("_doc.*")

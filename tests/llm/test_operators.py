@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, chat, langid, licenses, mixing, packing, pii, quality, simhash, topk, toxicity
+from tabscope.llm import bpe, chat, common, langid, licenses, mixing, packing, pii, quality, simhash, topk, toxicity
 from tabscope.llm.common import read_table
 from tabscope.llm.components import components
 from tabscope.llm.queries import QUERIES, public_tokens
@@ -524,6 +524,43 @@ def test_small_groups_are_dealt_to_many_cells(spark, monkeypatch):
     assert len({(g, c) for c, groups in cells.items() for g in groups}) == 100  # each group in one cell
 
 
+def test_keep_first_shuffles_no_texts(spark, monkeypatch):
+    """Texts of near copies meet as shingle sets; no exchange takes a text or a whole row."""
+    plans, saved = [], common.saved
+
+    def plan(df):
+        return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+    def noted(df, name):
+        plans.append(plan(df))
+        return saved(df, name)
+
+    for module in ("common", "simhash", "components"):
+        monkeypatch.setattr(f"tabscope.llm.{module}.saved", noted)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(10 * g + k, " ".join(words[20 * g : 20 * g + 150 - k])) for g in range(5) for k in range(4)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    plans = plans[1:] + [plan(kept)]  # after the rows are written
+    moved = [c for p in plans for c in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", p)]
+    assert any("shingles#" in c for c in moved)
+    assert not [c for c in moved if "_doc#" in c or "_text#" in c]
+    assert sorted(r.doc_id for r in kept.collect()) == [10 * g for g in range(5)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 8_192])
+def test_rows_among(spark, monkeypatch, tmp_path, most):
+    """Borders of bytes, bitmaps and partitions, absent and repeated numbers, several spans."""
+    monkeypatch.setattr(common, "BITMAPS", most)
+    edges = [0, 1, 7, 8, 63, 64, 2**15 - 1, 2**15, 2**15 + 1, 2**16 - 1, 2**16]
+    every = [(p << 33) + x for p in (0, 1, 2, 5, 70_000, 2**30 - 1) for x in edges]
+    spark.createDataFrame([(r, f"text {r}") for r in every], "_row long, _text string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for numbers in ([], every, every[::3] + every[::6], [every[-1]], [every[0], 5, 9, 2**15 - 2, (3 << 33) + 1]):
+        got = common.rows_among(table, spark.createDataFrame([(n,) for n in numbers], "_row long"))
+        assert got.columns == ["_row", "_text"]
+        assert sorted(map(tuple, got.collect())) == [(r, f"text {r}") for r in sorted(set(numbers) & set(every))]
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
