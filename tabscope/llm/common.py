@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tabscope.session import scratch_path
 
@@ -123,6 +123,25 @@ def map_columns(
     return df.mapInArrow(run, schema)
 
 
+def doc_with_text(docs: DataFrame, text: str) -> tuple[list[Column], str]:
+    """``_doc`` with the columns of ``docs``, and the name of the text in ``text_column``.
+
+    A string is read from ``_doc``; anything else is cast and sent beside it as ``_text``.
+    Batches of texts lie outside the heap, in Spark's Arrow vectors and once more in its
+    buffer to the worker, so each text goes there once only.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    if text in docs.columns and text not in ("_doc", "_id", "_row") and isinstance(docs.schema[text].dataType, StringType):
+        return [own], text
+    return [own, F.col(f"`{text}`").cast("string").alias("_text")], "_text"
+
+
+def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The column of a batch, or else that field of its ``_doc``."""
+    names = batch.schema.names
+    return batch.column(names.index(name)) if name in names else batch.column(names.index("_doc")).field(name)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch as Python strings, null as the empty text."""
-    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    return [t or "" for t in text_column(batch, name).to_pylist()]

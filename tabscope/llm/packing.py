@@ -38,8 +38,8 @@ from tabscope.llm.common import map_columns, saved, text_of, texts
 from tabscope.session import small_frame
 
 CAPACITY, END_ID = 2048, 0
-#: Chunks whose ids a task remembers.
-REMEMBERED = 500_000
+#: Chunks whose ids a worker remembers, at 200 bytes or so; it holds them through later stages too.
+REMEMBERED = 131_072
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,10 +72,9 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, ranked = self.known, self.ranked.encode_ordinary
-        for c in chunks:
-            if c not in known:
-                plain = c and not c[0].isspace() and not c[-1].isspace()
-                known[c] = array("I", ranked(" " + c)).tobytes() if plain else None
+        for c in chunks.difference(known):
+            plain = c and not c[0].isspace() and not c[-1].isspace()
+            known[c] = array("I", ranked(" " + c)).tobytes() if plain else None
 
     def encode(self, batch: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in batch]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tabscope.llm.common import map_columns, texts
+from tabscope.llm.common import doc_with_text, map_columns, texts
 
 #: Fixed values of the contract: kinds in order, and what their patterns allow.
 KINDS = ("email", "ip", "card", "phone")
@@ -382,13 +382,12 @@ def find_pii(docs: DataFrame, text: str = "text", table=None, redacted: bool = T
     model is a few thousand numbers and goes to each task with the function.
     """
     model = train(labelled_table() if table is None else table)
-    wide = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").cast("string").alias("_text")
-    )
+    columns, body = doc_with_text(docs, text)
+    wide = docs.select(*columns)
     schema = StructType([wide.schema["_doc"], *OWN.fields])
 
     def run(batch, _) -> dict:
-        source = texts(batch, "_text")
+        source = texts(batch, body)
         found = find_spans(source, model)
         out = {"_doc": batch.column(0), "base_sha256": [], "spans": [], "redacted": []} | {f"n_{k}": [] for k in KINDS}
         for t, (base, added) in zip(source, found):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tabscope.llm.common import map_columns, rows_among, saved
+from tabscope.llm.common import doc_with_text, map_columns, rows_among, saved, text_column
 from tabscope.llm.components import components
 from tabscope.session import small_frame
 
@@ -123,6 +123,7 @@ def _class(fp: bytes, n: int, settings: Settings) -> int:
 def fingerprints(docs: DataFrame, carried: list[str], text: str, settings: Settings) -> DataFrame:
     """``carried`` columns, ``fp`` binary, ``n`` (shingles) and ``class`` of every row.
 
+    ``text`` is a column, or else a field of the carried ``_doc``.
     Where shingle sets decide, a digest of the set follows the bits in ``fp``, so rows
     of one ``fp`` have equal sets.
     """
@@ -132,7 +133,7 @@ def fingerprints(docs: DataFrame, carried: list[str], text: str, settings: Setti
     def run(batch: pa.RecordBatch, _) -> dict:
         names = batch.schema.names
         fps, ns, classes = [], [], []
-        for t in batch.column(names.index(text)).cast(pa.binary()).to_pylist():
+        for t in text_column(batch, text).cast(pa.binary()).to_pylist():
             h = shingle_hashes(t or b"", settings.words)
             if not settings.repeats:
                 h = np.unique(h)
@@ -141,7 +142,7 @@ def fingerprints(docs: DataFrame, carried: list[str], text: str, settings: Setti
             fps.append(fp + xxhash.xxh128_digest(h.tobytes()) if settings.least else fp), ns.append(len(h))
         return {c: batch.column(names.index(c)) for c in carried} | {"fp": fps, "n": ns, "class": classes}
 
-    columns = list(dict.fromkeys([*carried, text]))
+    columns = list(dict.fromkeys([*carried, *([text] if text in docs.columns else [])]))
     return map_columns(docs.select(*columns), run, StructType(fields + own), rows=256)
 
 
@@ -409,13 +410,13 @@ def keep_first(docs: DataFrame, settings: Settings = NEAR_COPIES, id_col: str =
     Fingerprints are written next to the rows and read alone for the comparison; rows
     are picked where they lie, by row number, which no group of copies can make hot.
     """
+    columns, body = doc_with_text(docs, text)
     wide = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        *columns,
         F.col(f"`{id_col}`").cast("long").alias("_id"),
-        F.col(f"`{text}`").cast("string").alias("_text"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    rows = saved(fingerprints(wide, ["_doc", "_id", "_row"], "_text", settings), "simhash")
+    rows = saved(fingerprints(wide, ["_doc", "_id", "_row"], body, settings), "simhash")
     texts = rows.select("_row", F.col("_doc").getField(text).cast("string").alias("_text"))
     first = labelled(rows, ["_id", "_row"], settings, texts).select(F.col("first._row").alias("_row")).distinct()
     return rows_among(rows, first).select("_doc.*")

@@ -7,9 +7,11 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tabscope.llm import pii
-from tabscope.llm.common import read_table
+from tabscope.llm import packing, pii, simhash
+from tabscope.llm.common import map_columns, read_table
+from tabscope.llm.queries import public_tokens
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +61,32 @@ def test_mixture_and_packing(tables):
     assert max(mixed.values()) <= 2
     packed = Counter(r.doc_id for r in tables["packing"].where("piece = 0").collect())
     assert packed == mixed
+
+
+@pytest.mark.parametrize("module, stage", [(pii, pii.redact_rows), (simhash, simhash.keep_first)])
+def test_texts_are_sent_to_workers_once(spark, monkeypatch, module, stage):
+    sent = []
+    monkeypatch.setattr(module, "map_columns", lambda df, *a, **b: sent.append(df.schema) or map_columns(df, *a, **b))
+    rows = [(1, "call +1 (269) 555-3296 now", 26), (2, None, None), (3, "no number", 9), (3, "no number", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in stage(docs).collect() if r.text)
+    assert got == ([(1, "call [PHONE] now"), (3, "no number"), (3, "no number")] if module is pii else [(1, rows[0][1]), (3, "no number")])
+    assert sent[0].simpleString().count("text:string") == 1
+
+
+def test_texts_that_are_no_strings_are_cast(spark):
+    docs = spark.createDataFrame([(1, 4111111111111111), (2, 7), (3, 7), (4, None)], "doc_id long, text long")
+    assert {r.doc_id: r.text for r in pii.redact_rows(docs).collect()} == {1: "[CARD]", 2: "7", 3: "7", 4: None}
+    assert sorted(r.doc_id for r in simhash.keep_first(docs.where(F.col("doc_id") > 1)).collect()) == [2, 4]
+
+
+def test_encoder_remembers_a_bounded_number_of_words():
+    from tokenizers import Tokenizer
+
+    tokens = public_tokens()
+    tokenizer, ours = Tokenizer.from_file(tokens.path), packing.Encoder(*tokens)
+    for start in range(0, 300_000, 10_000):
+        text = "the " + " ".join(f"w{i:x}" for i in range(start, start + 10_000))
+        (got,) = ours.encode([text])
+        assert len(ours.known) <= 150_000
+    assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
