@@ -109,6 +109,7 @@ def map_columns(
 
     def run(batches):
         state = setup() if setup is not None else None
+        batch = columns = None
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 columns = function(batch.slice(start, rows), state)
@@ -119,6 +120,9 @@ def map_columns(
                     ],
                     schema=target,
                 )
+        # workers stay for later stages, and Arrow's pool would keep the batches' memory meanwhile
+        batch = columns = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
